@@ -8,10 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from pergamo.session import ship_code
+
 #: Bytes of text handled at once in one worker: bounds the arrays beside an Arrow batch.
 CHUNK = 4_000_000
 
 
+def apply(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow where the workers have this package."""
+    ship_code(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,7 +32,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
             if b.num_rows:
                 yield fn(b)
 
-    return df.mapInArrow(run, schema)
+    return apply(df, run, schema)
 
 
 def chunks(texts: list[str | None], most: int = CHUNK) -> Iterator[tuple[int, int]]:

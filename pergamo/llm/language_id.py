@@ -8,7 +8,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pergamo.llm.common import chunks, map_batches, mix64, table
+from pergamo.llm.common import apply, chunks, map_batches, mix64, table
 
 #: Hash buckets, n-gram lengths, additive smoothing; labelled rows that training reads, in expectation; languages at most.
 BUCKETS, LENGTHS, SMOOTH, FIT_ROWS, MOST_LANGS = 1 << 16, (1, 2, 3), 0.1, 20_000, 256
@@ -91,7 +91,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
             at = np.flatnonzero(acc)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(acc[at])], names=["lang", "bucket", "n"])
 
-    got = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    got = apply(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     langs = sorted(r.lang for r in got.where(F.col("bucket") == BUCKETS).select("lang").limit(MOST_LANGS + 1).collect())
     if len(langs) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
@@ -124,6 +124,13 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def keep_known(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs, with all their columns, without those whose language is `und`; trained on the rows not held out."""
+    model = fit(docs.where(~held_out(id_col)))
+    rows = docs.select(F.col(id_col).alias("id"), "text", F.struct(*docs.columns).alias("row"))
+    return identify(rows, model, "id", keep=("row",)).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, fit(docs.where(~held_out())))

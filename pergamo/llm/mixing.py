@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from pergamo.llm.common import table
 from pergamo.plans.skew import BROADCAST_ROWS
-from pergamo.session import settle
+from pergamo.session import settle, ship_code
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights given to the sources in turn, copies of a document at most, share of all words that the mix takes.
@@ -90,8 +90,8 @@ def _rounded(seed: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return block
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES, share: float = SHARE, id_col: str = "doc_id", seed: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: id, the columns in `keep`, source, size, source_size, target, copies.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES, share: float = SHARE, id_col: str = "doc_id", seed: int = 1) -> DataFrame:
+    """One row per row of docs: id, source, size, source_size, target, copies.
 
     Each document is wanted target / source_size times; the whole part is given and the fraction is rounded by
     pivotal pairs within blocks of a source (so a hot source is many blocks). Each block leaves one fractional
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     Repeated rows are mixed each. An empty table gives no rows.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = settle(docs.select(F.col(id_col).alias("id"), "source", size.alias("size"), F.xxhash64(F.lit(seed), id_col, "text").alias("draw"), *[F.col(c).alias(f"_k_{c}") for c in keep]))
+    sizes = settle(docs.select(F.col(id_col).alias("id"), "source", size.alias("size"), F.xxhash64(F.lit(seed), id_col, "text").alias("draw")))
     goals = settle(source_targets(sizes.select("source", "size"), weights, most, share))
     few = goals.count() <= BROADCAST_ROWS
     rows = sizes.alias("r").join(F.broadcast(goals.alias("g")) if few else goals.alias("g"), F.expr("r.source <=> g.source")).select("r.*", "source_size", "n_docs", "target")
@@ -113,6 +113,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     done = rows.where("p = 0")
     open_ = rows.where("p > 0").withColumn("block", F.pmod("draw", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / FAN_IN)).cast("long")))
     out, level = [done], 0
+    ship_code(docs.sparkSession)
     while True:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in open_.schema)
 
@@ -129,7 +130,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
-    return whole.select(F.col("id").alias(id_col), *[F.col(f"_k_{c}").alias(c) for c in keep], "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("copies"))
+    return whole.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("copies"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs as mixed: each row as many times as its copies, none for 0. Rows that repeat an id are told apart by
+    their order of text."""
+    copies = settle(mix(docs, id_col=id_col).select(F.col(id_col).alias("_mix_id"), F.col("copies").alias("_copies"), "size"))
+    on = F.col(id_col).eqNullSafe(F.col("_mix_id"))
+    names = docs.columns
+    if copies.count() != copies.select("_mix_id").distinct().count():
+        docs = docs.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64("text"))))
+        copies = copies.withColumn("_mix_nth", F.row_number().over(Window.partitionBy("_mix_id").orderBy("size", "_copies")))
+        on &= F.col("_nth") == F.col("_mix_nth")
+    return docs.join(copies.where("_copies > 0").drop("size"), on).select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).select(*names)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
