@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,17 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context, so that executors need no installation."""
+    context = spark.sparkContext
+    if getattr(context, "_pergamo_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="pergamo-code-")) / "pergamo.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(out))
+    context._pergamo_shipped = True
