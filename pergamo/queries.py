@@ -1,10 +1,389 @@
-"""Queries over the driver's tables, one an operator, and their SQL."""
+"""Queries over the driver's tables and the literal fixtures, one an operator, and their SQL for DuckDB.
+
+Where an operator works on the legal texts that the tables lack, it runs on the fixtures and its SQL lists the
+expected rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pergamo import fixtures as X
+from pergamo.functions import text as T
+from pergamo.functions.parties import party_type
+from pergamo.operators import abstracts as A
+from pergamo.operators import chunks as C
+from pergamo.operators import citations as Q
+from pergamo.operators import lexical, metrics, search, vectors
+from pergamo.operators import pages as P
+from pergamo.operators import rulings as R
+from pergamo.operators import sections as S
+from pergamo.streaming.ingest import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+SEARCH = "tion ble sh"  # words that documents of every size have, in less than half of them
+CANDIDATES = 50
+
+
+def query(sql: str | None = None):
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def values(rows: list[tuple], *names: str) -> str:
+    """SQL that lists expected rows."""
+
+    def lit(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return str(v).upper()
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        if isinstance(v, list):
+            return "[" + ", ".join(map(lit, v)) + "]"
+        return str(v)
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({', '.join(names)})"
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+WORDS_SQL = r"list_filter(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
+TOKENS_SQL = r"regexp_extract_all(strip_accents(lower(texto)), '[\p{L}\p{N}]+')"
+CHUNKS_SQL = f"""w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents), k AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 400 THEN 1 ELSE 1 + CAST(ceil((len(w) - 400) / 320.0) AS INT) END AS k FROM w),
+ chunk AS (SELECT doc_id, CAST(i AS INT) AS orden, w[i * 320 + 1 : i * 320 + 400] AS p FROM (SELECT doc_id, w, unnest(range(k)) AS i FROM k))"""
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT doc_id, orden, CAST(len(p) AS INT) AS n_palabras, md5(array_to_string(p, ' ')) AS resumen FROM chunk")
+def word_windows(spark, d):
+    return C.chunk_documents(t(spark, d, "documents")).select("doc_id", "orden", "n_palabras", F.md5(F.col("texto").cast("binary")).alias("resumen"))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT (SELECT count(DISTINCT doc_id) FROM chunk) AS documentos, (SELECT count(*) FROM chunk) AS fragmentos, round((SELECT count(*) FROM chunk) * 1.0 / (SELECT count(DISTINCT doc_id) FROM chunk), 6) AS media, (SELECT median(len(p)) FROM chunk) AS mediana_palabras")
+def chunk_summary(spark, d):
+    return C.chunk_summary(C.chunk_documents(t(spark, d, "documents"))).select("documentos", "fragmentos", F.round("media", 6).alias("media"), "mediana_palabras")
+
+
+@query(r"SELECT CAST(substr(source, 4) AS INT) AS tomo, count(*) AS paginas, count(*) FILTER (WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 200) AS con_texto, CASE WHEN count(*) FILTER (WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 200) * 1.0 / count(*) >= 0.5 THEN 'digital' ELSE 'requiere_ocr' END AS calidad FROM documents GROUP BY ALL")
+def page_quality(spark, d):
+    return P.page_quality(t(spark, d, "documents").select(F.expr("cast(substring(source, 4) as int)").alias("tomo"), F.col("text").alias("texto")))
+
+
+@query("WITH p AS (SELECT CAST(o_custkey % 50 AS INT) AS tomo, CAST(o_orderkey AS INT) AS pdf_page, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderkey - o_orderkey % 3 AS INT) END AS po FROM orders), d AS (SELECT tomo, pdf_page - po AS d, count(*) AS n, min(pdf_page) AS seen FROM p WHERE po IS NOT NULL GROUP BY ALL), b AS (SELECT tomo, arg_max(d, n * 1000000000 - seen) AS d FROM d GROUP BY tomo) SELECT tomo, b.d AS \"offset\", count(*) AS total, count(po) AS detectadas, count(*) FILTER (WHERE pdf_page - po = b.d) AS consistentes, count(*) FILTER (WHERE pdf_page - po <> b.d) AS discrepantes FROM p JOIN b USING (tomo) GROUP BY ALL")
+def offset_mode(spark, d):
+    o = t(spark, d, "orders").select((F.col("o_custkey") % 50).cast("int").alias("tomo"), F.col("o_orderkey").cast("int").alias("pdf_page"), F.when(F.col("o_orderkey") % 7 > 0, (F.col("o_orderkey") - F.col("o_orderkey") % 3).cast("int")).alias("pagina_oficial"))
+    return P.page_offset(o).withColumn("discrepantes", F.size("discrepancias").cast("long")).drop("discrepancias")
+
+
+@query("WITH p AS (SELECT CAST(l_suppkey % 20 AS INT) AS tomo, CAST(l_partkey AS INT) AS pagina_oficial, l_orderkey * 10 + l_linenumber AS pdf_page, l_shipdate FROM lineitem) SELECT tomo, pagina_oficial, CAST(arg_max(pdf_page, pdf_page) AS VARCHAR) AS texto, max(pdf_page) AS pdf_page FROM p GROUP BY ALL")
+def body_pages(spark, d):
+    x = t(spark, d, "lineitem").select((F.col("l_suppkey") % 20).cast("int").alias("tomo"), F.col("l_partkey").cast("int").alias("pagina_oficial"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pdf_page"))
+    return P.body_pages(x.withColumn("texto", F.col("pdf_page").cast("string"))).select("tomo", "pagina_oficial", "texto", "pdf_page")
+
+
+@query(rf"SELECT source, CAST(sum(len({WORDS_SQL})) AS BIGINT) AS palabras FROM documents GROUP BY source")
+def word_counts(spark, d):
+    return t(spark, d, "documents").groupBy("source").agg(F.sum(F.size(T.words(F.col("text")))).alias("palabras"))
+
+
+@query(values([("Considerando: que ERNESTO dijo", "Raskovsky"), ("procedente", "María"), ("sin cambios", "Mcdonald")], "limpio", "versalita"))
+def clean_text(spark, d):
+    rows = [("349 FALLOS DE LA CORTE SUPREMA\n349\nConside-\nrando: que ERNESTO dijo\n", "Raskovsky"), ("FALLOS DE LA CORTE SUPREMA\nDE JUSTICIA DE LA NACIÓN 12\npro -\n cedente", "MARíA"), ("sin cambios", "McDonald")]
+    x = spark.createDataFrame(rows, "texto string, palabra string")
+    return x.select(T.clean_page(F.col("texto")).alias("limpio"), T.title_small_caps(F.col("palabra")).alias("versalita"))
+
+
+@query(r"SELECT doc_id, len(k) AS n, md5(array_to_string(k, ' ')) AS resumen FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS k FROM documents)")
+def fold_tokens(spark, d):
+    x = t(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("k"))
+    return x.select("doc_id", F.size("k").cast("long").alias("n"), F.md5(F.array_join("k", " ").cast("binary")).alias("resumen"))
+
+
+def bm25_sql(cte: str, k: int) -> str:
+    terms = lexical.query_tokens(SEARCH)
+    tf = ", ".join(f"len(list_filter(k, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(terms))
+    df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(terms)))
+    part = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(terms)))
+    every = " AND ".join(f"tf{i} > 0" for i in range(len(terms)))
+    return f"{cte}, tok AS (SELECT id, {TOKENS_SQL} AS k FROM src), cnt AS (SELECT id, len(k) AS dl, {tf} FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM cnt), hit AS (SELECT id, -({part}) AS rank FROM cnt, st WHERE {every} ORDER BY rank, id LIMIT {k})"
+
+
+CHUNK_SRC = f"WITH {CHUNKS_SQL}, src AS (SELECT doc_id * 1000 + orden AS id, array_to_string(p, ' ') AS texto FROM chunk)"
+
+
+def numbered_chunks(spark, d) -> DataFrame:
+    return C.chunk_documents(t(spark, d, "documents")).withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("orden"))
+
+
+@query(bm25_sql(CHUNK_SRC, 10) + " SELECT id AS chunk_id, round(rank, 6) AS rank FROM hit")
+def bm25_topk(spark, d):
+    return lexical.search_scan(numbered_chunks(spark, d), SEARCH).select("chunk_id", F.round("rank", 6).alias("rank"))
+
+
+@query(bm25_sql(CHUNK_SRC, 10) + " SELECT id AS chunk_id, round(rank, 6) AS rank FROM hit")
+def bm25_index(spark, d):
+    return lexical.search_index(lexical.build(numbered_chunks(spark, d)), SEARCH).select("chunk_id", F.round("rank", 6).alias("rank"))
+
+
+@query(r"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY term HAVING count(*) >= 20")
+def postings_summary(spark, d):
+    return lexical.build(t(spark, d, "documents"), "doc_id", "text").postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")).where("tf >= 20")
+
+
+COSINE = "1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+COSINE_HITS = f"SELECT e.vec_id AS id, {COSINE} AS distancia FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distancia, id LIMIT "
+
+
+def nearest(spark, d, k) -> DataFrame:
+    e = t(spark, d, "embeddings")
+    q = e.where("vec_id = 0").select("embedding").first()[0]
+    return vectors.search(e, q, k, "vec_id", "embedding")
+
+
+@query(f"SELECT id AS chunk_id, round(distancia, 6) AS distancia FROM ({COSINE_HITS} 11) WHERE id > 0")
+def cosine_topk(spark, d):
+    return nearest(spark, d, 11).where("chunk_id > 0").select("chunk_id", F.round("distancia", 6).alias("distancia"))
+
+
+DOC_SRC = "WITH src AS (SELECT doc_id AS id, text AS texto FROM documents)"
+RANKS = "ROW_NUMBER() OVER (ORDER BY {0}, id) - 1"
+FUSED = "f AS (SELECT id, coalesce(1.0 / (61 + l.r), 0) + coalesce(1.0 / (61 + v.r), 0) AS score, l.r AS rank_lexico, v.r AS rank_vectorial FROM l FULL JOIN v USING (id))"
+
+
+@query(f"{bm25_sql(DOC_SRC, CANDIDATES)}, vec AS ({COSINE_HITS} {CANDIDATES}), l AS (SELECT id, {RANKS.format('rank')} AS r FROM hit), v AS (SELECT id, {RANKS.format('distancia')} AS r FROM vec), {FUSED} SELECT id AS chunk_id, round(score, 9) AS score, CAST(rank_lexico AS INT) AS rank_lexico, CAST(rank_vectorial AS INT) AS rank_vectorial FROM f")
+def rrf_fusion(spark, d):
+    lex = search.ranked(lexical.search_scan(t(spark, d, "documents"), SEARCH, CANDIDATES, "doc_id", "text"), "rank")
+    vec = search.ranked(nearest(spark, d, CANDIDATES), "distancia")
+    return search.rrf({"lexico": lex, "vectorial": vec}).withColumn("score", F.round("score", 9))
+
+
+@query(f"{bm25_sql(DOC_SRC, CANDIDATES)}, vec AS ({COSINE_HITS} {CANDIDATES}), ok AS (SELECT doc_id AS id FROM documents WHERE lang = 'en'), l AS (SELECT id, {RANKS.format('rank')} AS r FROM hit SEMI JOIN ok USING (id)), v AS (SELECT id, {RANKS.format('distancia')} AS r FROM vec SEMI JOIN ok USING (id)), {FUSED} SELECT id AS chunk_id, round(score, 9) AS score, CAST(rank_lexico AS INT) AS rank_lexico, CAST(rank_vectorial AS INT) AS rank_vectorial FROM f ORDER BY score DESC, rank_lexico NULLS LAST, rank_vectorial NULLS LAST LIMIT 10")
+def hybrid_filtered(spark, d):
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").cast("string").alias("cita"), F.lit("mayoria").alias("seccion_tipo"), F.lit(1).alias("pagina_oficial"), F.col("text").alias("texto"), F.col("lang").alias("tribunal_origen"))
+    rulings = docs.select("cita", F.lit("2020-01-01").alias("fecha"), "tribunal_origen", F.lit("estado").alias("actor_tipo"), F.lit(None).cast("string").alias("demandado_tipo"))
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    q = e.where("chunk_id = 0").select("vector").first()[0]
+    out = search.hybrid(docs, rulings, None, e, SEARCH, q, 10, CANDIDATES, search.Filters(court="en", party="estado", year_from=2000))
+    return out.withColumn("score", F.round("score", 9))
+
+
+@query(f"{bm25_sql(CHUNK_SRC, CANDIDATES)}, x AS (SELECT id // 1000 AS doc_id, id, -rank AS score, ROW_NUMBER() OVER (ORDER BY rank, id) AS pos FROM hit) SELECT doc_id, count(*) AS total_pasajes, round(max(score), 6) AS score, arg_min(id, pos) AS mejor FROM x GROUP BY doc_id ORDER BY min(pos) LIMIT 5")
+def group_by_doc(spark, d):
+    ch = numbered_chunks(spark, d).select("chunk_id", "doc_id", F.lit("mayoria").alias("seccion_tipo"), F.lit(1).alias("pagina_oficial"), "texto")
+    hits = lexical.search_scan(ch, SEARCH, CANDIDATES).select("chunk_id", (-F.col("rank")).alias("score"))
+    out = search.group_by_ruling(hits, ch, 5, "doc_id")
+    return out.select("doc_id", "total_pasajes", F.round("score", 6).alias("score"), F.get("pasajes", F.lit(0))["chunk_id"].alias("mejor"))
+
+
+@query("SELECT c.o_orderkey AS chunk_id FROM orders c JOIN customer f ON c.o_custkey = f.c_custkey WHERE c.o_orderkey % 3 = 0 AND strftime(c.o_orderdate, '%Y') BETWEEN '1995' AND '1996' AND c.o_orderstatus IS NOT NULL AND f.c_mktsegment = 'BUILDING'")
+def filter_chunks(spark, d):
+    ch = t(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_orderkey").cast("string").alias("cita"), F.lit("voto").alias("seccion_tipo"), "o_custkey", "o_orderdate")
+    rul = ch.join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("cita", F.date_format("o_orderdate", "yyyy-MM-dd").alias("fecha"), F.col("c_mktsegment").alias("tribunal_origen"), F.lit("empresa").alias("actor_tipo"), F.lit("estado").alias("demandado_tipo"))
+    return search.filter_chunks(ch.where("chunk_id % 3 = 0").select("chunk_id"), ch, rul, None, search.Filters(1995, 1996, "BUILDING", "voto", party="estado"))
+
+
+@query("WITH c AS (SELECT l_orderkey, CAST(l_suppkey % 50 + 1 AS INT) AS tomo, CAST(l_partkey % 2000 AS INT) AS pagina FROM lineitem), f AS (SELECT CAST(p_size AS INT) AS tomo, CAST(p_partkey % 2000 AS INT) AS desde, p_partkey FROM part) SELECT CAST(f.p_partkey AS VARCHAR) AS citado, count(*) AS n FROM c JOIN f ON c.tomo = f.tomo AND c.pagina BETWEEN f.desde AND f.desde + 5 WHERE c.l_orderkey <> f.p_partkey GROUP BY ALL")
+def incoming_range_join(spark, d):
+    c = t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("cita"), (F.col("l_suppkey") % 50 + 1).cast("int").alias("tomo_citado"), (F.col("l_partkey") % 2000).cast("int").alias("pagina_citada"), F.lit("").alias("contexto"))
+    f = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("cita"), F.col("p_size").cast("int").alias("tomo"), (F.col("p_partkey") % 2000).cast("int").alias("pagina_inicio"), (F.col("p_partkey") % 2000 + 5).cast("int").alias("pagina_fin"))
+    return Q.incoming(c, f).groupBy("citado").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_suppkey AS tomo_citado, l_partkey AS pagina_citada, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY n DESC, tomo_citado, pagina_citada LIMIT 5")
+def top_cited(spark, d):
+    return Q.top_cited(t(spark, d, "lineitem").select(F.col("l_suppkey").alias("tomo_citado"), F.col("l_partkey").alias("pagina_citada")))
+
+
+@query("WITH s AS (SELECT CAST(o_custkey % 20 AS INT) AS tomo, CAST(o_orderkey AS INT) AS inicio FROM orders), e AS (SELECT tomo, max(inicio) + 3 AS fin FROM s GROUP BY tomo), x AS (SELECT s.tomo, inicio, coalesce(lead(inicio) OVER (PARTITION BY s.tomo ORDER BY inicio) - 1, fin) AS fin, lead(inicio) OVER (PARTITION BY s.tomo ORDER BY inicio) AS sig FROM s JOIN e USING (tomo)) SELECT tomo, count(*) AS fallos, min(inicio) AS desde, max(fin) AS hasta, count(*) FILTER (WHERE fin >= sig) AS solapes, count(*) FILTER (WHERE sig - fin > 1) AS huecos, max(fin - inicio + 1) AS mayor, median(fin - inicio + 1) AS mediana FROM x GROUP BY tomo")
+def segment_ranges(spark, d):
+    s = t(spark, d, "orders").select((F.col("o_custkey") % 20).cast("int").alias("tomo"), F.col("o_orderkey").cast("int").alias("pagina_inicio"), F.lit("c").alias("caratula"))
+    ends = s.groupBy("tomo").agg((F.max("pagina_inicio") + 3).alias("pagina_fin_cuerpo"))
+    return R.segment_summary(R.ranges(s, ends, "indice"))
+
+
+@query("SELECT tipo, count(*) AS n FROM (SELECT unnest([o_orderstatus, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END]) AS tipo FROM orders) GROUP BY tipo")
+def party_coverage(spark, d):
+    return R.party_coverage(t(spark, d, "orders").select(F.col("o_orderstatus").alias("actor_tipo"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")).alias("demandado_tipo")))
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label % 2 = 0)")
+def pending_anti_join(spark, d):
+    ch = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"))
+    v = t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.col("label") % 2 == 0, "m").otherwise("otro").alias("modelo"))
+    return vectors.pending(ch, v, "m")
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 > 0)")
+def vector_completeness(spark, d):
+    return vectors.missing(t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id")), t(spark, d, "embeddings").where("vec_id % 3 > 0").select(F.col("vec_id").alias("chunk_id")))
+
+
+@query("SELECT vec_id AS chunk_id, CASE WHEN vec_id % 10 = 0 THEN 'm2' ELSE 'm1' END AS modelo, round(CAST(CASE WHEN vec_id % 10 = 0 THEN -embedding[1] ELSE embedding[1] END AS DOUBLE), 5) AS primero FROM embeddings")
+def upsert_last_wins(spark, d):
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("m1").alias("modelo"), F.col("embedding").alias("vector"))
+    tens = e.where("chunk_id % 10 = 0")
+    new = tens.withColumn("orden", F.lit(1)).unionByName(tens.select("chunk_id", F.lit("m2").alias("modelo"), F.transform("vector", lambda x: -x).alias("vector"), F.lit(2).alias("orden")))
+    return vectors.upsert(e, new, 64, "orden").select("chunk_id", "modelo", F.round(F.get("vector", F.lit(0)).cast("double"), 5).alias("primero"))
+
+
+@query("SELECT CAST(label AS VARCHAR) AS modelo, count(*) AS n FROM embeddings GROUP BY label")
+def vectors_by_model(spark, d):
+    return vectors.by_model(t(spark, d, "embeddings").select(F.col("label").cast("string").alias("modelo")))
+
+
+@query("SELECT DISTINCT upper(p_type) AS valor FROM part WHERE upper(p_type) LIKE '%O%' ORDER BY valor LIMIT 20")
+def find_descriptors(spark, d):
+    return A.find_descriptors(t(spark, d, "part").select(F.upper("p_type").alias("valor")).distinct(), " o ")
+
+
+@query("SELECT DISTINCT p_brand AS materia FROM part WHERE p_brand <> ''")
+def branches(spark, d):
+    return A.branches(t(spark, d, "part").select(F.col("p_brand").alias("materia")))
+
+
+@query("WITH o AS (SELECT DISTINCT p_brand AS valor, CAST(NULL AS INT) AS codigo, 0 AS age FROM part), n AS (SELECT p_brand AS valor, CAST(p_size AS INT) AS codigo, 1 AS age FROM part WHERE p_partkey % 2 = 0) SELECT valor, min(codigo) AS codigo FROM (SELECT * FROM o UNION ALL SELECT * FROM n) GROUP BY valor")
+def upsert_descriptors(spark, d):
+    p = t(spark, d, "part")
+    return A.upsert_descriptors(p.select(F.col("p_brand").alias("valor"), F.lit(None).cast("int").alias("codigo")).distinct(), p.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("valor"), F.col("p_size").cast("int").alias("codigo")))
+
+
+@query("SELECT o_orderstatus AS estado, count(*) AS n FROM orders GROUP BY 1")
+def jobs_by_state(spark, d):
+    return metrics.by_state(t(spark, d, "orders").select(F.col("o_orderstatus").alias("estado")))
+
+
+@query("SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+def latest_job(spark, d):
+    return metrics.latest(t(spark, d, "events"), ["user_id", "event_type"], "event_id", "value")
+
+
+@query("SELECT event_type AS etapa, CAST(epoch(max(ts)) - epoch(arg_max(ts, event_id)) AS BIGINT) AS segundos FROM events GROUP BY 1")
+def stage_durations(spark, d):
+    e = t(spark, d, "events")
+    ends = e.groupBy("event_type").agg(F.date_trunc("second", F.max("ts")).alias("fin"))
+    j = e.join(ends, "event_type").select(F.col("event_type").alias("etapa"), F.col("event_id").alias("id"), F.date_trunc("second", "ts").alias("iniciado_at"), F.col("fin").alias("terminado_at"))
+    return metrics.stage_durations(j)
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS desde, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed_events(spark, d):
+    return windowed_counts(t(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("WITH a AS (SELECT o_custkey AS cita, o_orderpriority AS linea FROM orders), b AS (SELECT o_custkey AS cita, o_orderpriority AS linea FROM orders WHERE o_orderkey % 2 = 0) SELECT cita, linea, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY ALL")
+def line_difference(spark, d):
+    a = t(spark, d, "orders").select(F.col("o_custkey").alias("cita"), F.col("o_orderpriority").alias("linea"), "o_orderkey")
+    return a.drop("o_orderkey").exceptAll(a.where("o_orderkey % 2 = 0").drop("o_orderkey")).groupBy("cita", "linea").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH g AS (SELECT l_partkey AS numero, count(*) AS n FROM lineitem GROUP BY 1) SELECT count(*) AS numeros, min(numero) AS desde, max(numero) AS hasta, CAST(sum(n) AS BIGINT) AS filas, count(*) FILTER (WHERE n > 1) AS varios_volumenes FROM g")
+def catalog_summary(spark, d):
+    return A.catalog_summary(t(spark, d, "lineitem").select(F.col("l_partkey").alias("numero")))
+
+
+@query("WITH c AS (SELECT o_orderkey, o_custkey FROM orders), r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 10 AS s FROM lineitem WHERE l_linenumber <= 3) SELECT count(*) AS casos, round(avg(CASE WHEN m IS NULL THEN 0 ELSE 1 END), 6) AS recall, round(avg(coalesce(1.0 / m, 0)), 6) AS mrr FROM (SELECT o_orderkey, min(l_linenumber) AS m FROM c LEFT JOIN r ON o_orderkey = l_orderkey AND o_custkey % 10 = s GROUP BY o_orderkey)")
+def retrieval_metrics(spark, d):
+    cases = t(spark, d, "orders").select(F.col("o_orderkey").alias("consulta"), (F.col("o_custkey") % 10).alias("esperada"))
+    res = t(spark, d, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("consulta"), (F.col("l_suppkey") % 10).alias("cita")).agg(F.min("l_linenumber").alias("puesto"))
+    return metrics.retrieval(res, cases).select("casos", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+
+
+@query(values([("a", 311, 2478), ("a", 312, 45), ("b", 300, 10), ("b", 300, 12), ("b", 300, 15), ("b", 301, 20), ("b", 20, 7), ("d", 320, 1)], "cita", "tomo_citado", "pagina_citada"))
+def citation_list(spark, d):
+    return Q.extract(spark.createDataFrame(list(X.CITATIONS), "cita string, texto string")).select("cita", "tomo_citado", "pagina_citada")
+
+
+PARTY_EXPECTED = ("estado",) * 6 + ("organismo",) * 4 + ("empresa",) * 4 + ("persona_fisica",) * 4 + (None,) * 4
+
+
+@query(values(list(zip(X.PARTIES, PARTY_EXPECTED)), "parte", "tipo"))
+def party_class(spark, d):
+    return spark.createDataFrame([(p,) for p in X.PARTIES], "parte string").select("parte", party_type(F.col("parte")).alias("tipo"))
+
+
+@query(values([(1, "Texto corto sobre daños."), (2, "Aquí se trata de la responsabilidad del Estado por los daños que causa. Sigue mucho texto que tampoco interesa a nadie. Sigue mucho texto que tampoco interesa a nadie. Sigue mucho texto que tampoco interesa a nadie.…"), (3, ("palabra " * 27).strip() + "…")], "id", "extracto"))
+def snippet(spark, d):
+    x = spark.createDataFrame(list(X.SNIPPETS), "id int, texto string")
+    return x.select("id", T.snippet(F.col("texto"), T.query_terms(F.lit("la responsabilidad del Estado"))).alias("extracto"))
+
+
+@query(values([("responsabilidad,estado,daños", "El <mark>Estado</mark> y los estados", "311:2478")], "terminos", "marcado", "cita"))
+def query_tools(spark, d):
+    x = spark.createDataFrame([("La responsabilidad del Estado y los daños del estado", "El Estado y los estados", " Fallos: 311:2478 ")], "q string, x string, c string")
+    return x.select(F.array_join(T.query_terms(F.col("q")), ",").alias("terminos"), T.highlight(F.col("x"), ["estado"]).alias("marcado"), T.cite_query(F.col("c")).alias("cita"))
+
+
+@query(values([("Pérez, Juan c/ Estado Nacional s/ daños", [1]), ("Transportes del Sur S.A. c/ Gómez, Ana s/ cobro de pesos", [3])], "caratula", "paginas"))
+def index_entries(spark, d):
+    return P.index_entries(X.index_columns(spark)).select("caratula", "paginas")
+
+
+def volume(spark) -> tuple[DataFrame, DataFrame]:
+    p = P.with_official_page(X.pages(spark))
+    return p, R.segment(P.index_entries(X.index_columns(spark)), p)
+
+
+@query(values([("400:1", 1, 2, "indice", False), ("400:3", 3, 3, "indice", False)], "cita", "pagina_inicio", "pagina_fin", "metodo", "dudosa"))
+def segment_by_index(spark, d):
+    return volume(spark)[1].select("cita", "pagina_inicio", "pagina_fin", "metodo", "dudosa")
+
+
+@query(values([("400:1", "Pérez, Juan c/ Estado Nacional s/ daños"), ("400:3", "Transportes del Sur S.A. c/ Gómez, Ana s/ cobro de pesos")], "cita", "caratula"))
+def segment_by_captions(spark, d):
+    p = volume(spark)[0]
+    return R.segment(P.index_entries(X.index_columns(spark)).where("false"), p).select("cita", "caratula")
+
+
+@query(values([("400:1", "2031-02-06", "Rosa Luna|Pedro Sol|Ana Mar", "recurso extraordinario", "Cámara Federal de Mendoza", "persona_fisica", "estado"), ("400:3", "2031-09-10", "Rosa Luna", None, None, "empresa", "persona_fisica")], "cita", "fecha", "jueces", "tipo_recurso", "tribunal_origen", "actor_tipo", "demandado_tipo"))
+def ruling_metadata(spark, d):
+    p, r = volume(spark)
+    return R.with_metadata(R.ruling_texts(r, p)).select("cita", "fecha", F.array_join("jueces", "|").alias("jueces"), "tipo_recurso", "tribunal_origen", "actor_tipo", "demandado_tipo")
+
+
+@query(values([("400:1", 3, True), ("400:3", 1, False)], "cita", "n_paginas", "con_nota"))
+def ruling_text(spark, d):
+    p, r = volume(spark)
+    x = R.ruling_texts(r, p)
+    return x.select("cita", F.size("paginas").alias("n_paginas"), (F.element_at("paginas", -1)["texto"].contains("Sentencia del 7") & ~F.col("texto").contains("Gómez")).alias("con_nota"))
+
+
+@query(values([("400:1", "mayoria", None, 0), ("400:1", "voto", "Pedro Sol", 1), ("400:3", "dictamen", None, 0), ("400:3", "mayoria", None, 1)], "cita", "tipo", "autor", "orden"))
+def section_split(spark, d):
+    p, r = volume(spark)
+    return S.sections(R.ruling_texts(r, p)).select("cita", "tipo", "autor", "orden")
+
+
+@query(values([("400:1", 0, 0, 1, 10), ("400:3", 0, 0, 3, 6)], "cita", "seccion_orden", "orden", "pagina_oficial", "n_palabras"))
+def section_chunks(spark, d):
+    p, r = volume(spark)
+    x = R.ruling_texts(r, p)
+    return C.chunk_sections(S.sections(x), x, 10, 2).where("seccion_orden = 0 and orden = 0").select("cita", "seccion_orden", "orden", "pagina_oficial", "n_palabras")
+
+
+@query(values([("400:1", "400:3", 400, 2)], "citado", "citante", "tomo_citado", "pagina_citada"))
+def incoming_citations(spark, d):
+    p, r = volume(spark)
+    return Q.incoming(Q.extract(R.ruling_texts(r, p)), r).select("citado", "citante", "tomo_citado", "pagina_citada")
+
+
+@query(values([(400, 1, "Pérez c/ Estado", "2031-02-06", "DAÑOS|ESTADO|CULPA", "El Estado responde", "77", "CIVIL"), (400, 3, "Otra", None, "", "", None, "PENAL")], "tomo", "pagina", "caratula", "fecha", "voces", "texto", "id_documento", "materia"))
+def abstract_records(spark, d):
+    x = A.parse_abstracts(spark.createDataFrame(list(X.ABSTRACTS), "json string, tomo int, pagina int"))
+    return x.withColumn("voces", F.array_join("voces", "|"))
+
+
+@query(values([(347, "I", "2024", 2024, 2024, "11"), (347, "II", "2024", 2024, 2024, "12"), (21, None, "1879/1880", 1879, 1880, "3")], "numero", "volumen", "anio", "anio_desde", "anio_hasta", "csjn_tomo_id"))
+def catalog_rows(spark, d):
+    return A.catalog_entries(spark.createDataFrame([(X.CATALOG,)], "html string"))
