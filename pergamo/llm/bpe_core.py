@@ -47,18 +47,19 @@ class Merges:
             self.rank[whole], self.parts[whole], self.pairs[self.ids[a], self.ids[b]] = r, (self.ids[a], self.ids[b]), r
         self.specials = {t["content"]: t["id"] for t in conf.get("added_tokens") or []}
         self.names |= {i: t for t, i in self.specials.items()}
-        self.longest: dict[str, int] = {}  # longest token by the last character
-        for t in self.ids:
-            bare = t.removesuffix(self.suffix) if self.suffix else t
-            if bare:
-                self.longest[bare[-1]] = max(self.longest.get(bare[-1], 1), len(bare))
         self.table = {b: ord(c) for b, c in enumerate(byte_symbols())}
         self.follows: dict[int, bool] = {}
         self.sound: dict[int, bool] = {}
-        self.usable: dict[str, int] = {}
         self.right: dict[int, list[tuple[int, int]]] = {}
         self.left: dict[int, list[tuple[int, int]]] = {}
-        self.usable |= {t: i for t, i in self.ids.items() if self.is_sound(i)}
+        self.ends: tuple[dict[str, int], dict[str, int]] = ({}, {})  # every end of a token, without and with the suffix: the token it is, or -1
+        for t, i in self.ids.items():
+            word_end = bool(self.suffix) and t.endswith(self.suffix)
+            bare, ends = t.removesuffix(self.suffix) if word_end else t, self.ends[word_end]
+            if bare and self.is_sound(i):
+                for k in range(1, len(bare)):
+                    ends.setdefault(bare[k:], -1)
+                ends[bare] = i
         self.left.clear()
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
@@ -105,16 +106,20 @@ class Merges:
 
     def last_token(self, s: str, d: int, last: list[int], tail: str = "") -> tuple[int, int]:
         """(id, length) of the token that ends the encoding of s[:d] + tail; last[i] is the id for s[:i]."""
-        usable, follows = self.usable, self.follows
-        most = self.longest[s[d - 1]]
-        for at in range(d - most if d > most else 0, d):
-            t = usable.get(s[at:d] + tail)
-            if t is not None:
-                if not at:
-                    return t, d
-                ok = follows.get(last[at] << 20 | t)
-                if ok or ok is None and self.may_follow(last[at], t):
-                    return t, d - at
+        ends, follows, found, at = self.ends[tail != ""], self.follows, [], d - 1
+        while at >= 0:
+            t = ends.get(s[at:d])
+            if t is None:  # no token ends so
+                break
+            if t >= 0:
+                found.append((t, at))
+            at -= 1
+        for t, at in reversed(found):
+            if not at:
+                return t, d
+            ok = follows.get(last[at] << 20 | t)
+            if ok or ok is None and self.may_follow(last[at], t):
+                return t, d - at
         raise ValueError(f"no token ends {s[:d]!r}")
 
     def segments(self, text: str) -> list[str]:

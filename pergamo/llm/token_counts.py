@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from pergamo.llm.bpe_core import Kept, Merges, loaded
-from pergamo.llm.common import map_batches, table
+from pergamo.llm.bpe_core import CACHE, Kept, Merges, loaded
+from pergamo.llm.common import CHUNK, chunks, map_batches, table
 
 #: How a byte-level tokenizer cuts a text before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -30,41 +32,58 @@ class PrefixCounter:
         self.model = model
         self.steps = Kept()
 
-    def _step(self, piece: str) -> bytes:
-        """By how much each further character of a piece changes the count, as int32 bytes."""
-        out = self.steps[piece]
-        if out is None:
-            s, last, count = self.model.symbols(piece), [-1], [0]
-            step = self.model.last_token
-            for d in range(1, len(s) + 1):
+    def learn(self, pieces: set[str]) -> None:
+        """Solve the new ones in the order of their symbols: what two neighbours begin with is solved once."""
+        symbols, step = self.model.symbols, self.model.last_token
+        before, last, count = "", [-1], [0]
+        for s, piece in sorted([(symbols(p), p) for p in pieces if self.steps[p] is None]):
+            same = 0
+            for x, y in zip(s, before):
+                if x != y:
+                    break
+                same += 1
+            del last[same + 1 :], count[same + 1 :]
+            for d in range(same + 1, len(s) + 1):
                 t, n = step(s, d, last)
                 last.append(t)
                 count.append(count[d - n] + 1)
-            if len(s) > len(piece):  # only whole characters end prefixes
-                ends = [0]
-                for c in piece:
-                    ends.append(ends[-1] + len(c.encode()))
-                count = [count[e] for e in ends]
-            if piece in CONTRACTIONS:
-                count[2] = 2
-            out = array("i", [b - a for a, b in zip(count, count[1:])]).tobytes()
-            self.steps.put(piece, out)
+            before = s
+            self.steps.put(piece, self._steps_of(piece, count))
+
+    @staticmethod
+    def _steps_of(piece: str, count: list[int]) -> bytes:
+        """By how much each further character of a piece changes the count, as int32 bytes; count is by symbols."""
+        if len(count) > len(piece) + 1:  # only whole characters end prefixes
+            ends = [0]
+            for c in piece:
+                ends.append(ends[-1] + len(c.encode()))
+            count = [count[e] for e in ends]
+        out = array("i", map(sub, count[1:], count))
+        if piece in CONTRACTIONS:  # the prefix of two characters is two pieces
+            out[1], out[2] = 1, count[3] - 2
+        return out.tobytes()
+
+    def _step(self, piece: str) -> bytes:
+        out = self.steps[piece]
+        if out is None:
+            self.learn({piece})
+            out = self.steps[piece]
         return out
 
-    def _plain(self, text: str) -> np.ndarray:
+    def _plain(self, text: str, pieces: list[str] | None = None) -> np.ndarray:
         """Counts of the prefixes of length 1, 2, ... of a text without special strings."""
-        kept, pieces = self.steps, (ASCII_PIECES if text.isascii() else PIECES).findall(text)
+        kept, pieces = self.steps, cut(text) if pieces is None else pieces
         out = np.frombuffer(b"".join([kept[p] or self._step(p) for p in pieces]), np.int32).cumsum(dtype=np.int64)
         for m in SPACES.finditer(text):  # a prefix that ends here has the run as one piece
             a, b = m.span()
             out[b - 1] = (out[a - 1] if a else 0) + np.frombuffer(self._step(text[a:b]), np.int32).sum()
         return out
 
-    def counts(self, text: str) -> np.ndarray:
-        """counts[i]: tokens of text[:i], as the tokenizer library counts them."""
+    def counts(self, text: str, pieces: list[str] | None = None) -> np.ndarray:
+        """counts[i]: tokens of text[:i], as the tokenizer library counts them; pieces: of cut(), if known."""
         parts = self.model.segments(text)
         if len(parts) == 1:
-            return np.concatenate([np.zeros(1, np.int64), self._plain(text)])
+            return np.concatenate([np.zeros(1, np.int64), self._plain(text, pieces)])
         out, base = [np.zeros(1, np.int64)], 0
         for i in range(0, len(parts), 2):
             here = self._plain(parts[i])
@@ -79,6 +98,23 @@ class PrefixCounter:
         return np.concatenate(out)
 
 
+    def all_counts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """counts() of each text, what is new in all of them learned together; texts should be a few MB."""
+        cuts = [cut(t) for t in texts]
+        pieces: set[str] = set()
+        for c in cuts:
+            pieces.update(c)
+            if len(pieces) > CACHE // 4:
+                self.learn(pieces)
+                pieces.clear()
+        self.learn(pieces)
+        return map(self.counts, texts, cuts)
+
+
+def cut(text: str) -> list[str]:
+    return (ASCII_PIECES if text.isascii() else PIECES).findall(text)
+
+
 _counters: dict[int, PrefixCounter] = {}
 
 
@@ -103,12 +139,11 @@ def token_counts(docs: DataFrame, tokenizer: str, budget: int = LIMIT, keep_pref
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         c = counter(shared.value)
-        rows = []
-        for t in b.column(1).to_pylist():
-            t = t or ""
-            n = c.counts(t)
-            fit = len(t) if n[-1] <= budget else int(np.flatnonzero(n <= budget)[-1])
-            rows.append((len(t), len(t.encode()), int(n[-1]), fit, n.astype(np.int32) if keep_prefixes else None))
+        rows, texts = [], [t or "" for t in b.column(1).to_pylist()]
+        for a, e in chunks(texts, CHUNK // 2):
+            for t, n in zip(texts[a:e], c.all_counts(texts[a:e])):
+                fit = len(t) if n[-1] <= budget else int(np.flatnonzero(n <= budget)[-1])
+                rows.append((len(t), len(t.encode()), int(n[-1]), fit, n.astype(np.int32) if keep_prefixes else None))
         cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
         names = ["id", "n_chars", "n_bytes", "n_tokens", "fit_chars"]
         if keep_prefixes:
