@@ -5,6 +5,8 @@ Patterns name Unicode classes or carry (?U): Java's \\w and \\s are ASCII otherw
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,12 @@ def lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once. A lambda evaluates what stands in it anew for each element, so
+    whatever costs and is used within one must come in as a variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(strip(c) != "", c)
 
@@ -124,11 +132,15 @@ def word_windows(text: Column, target: int = 400, overlap: int = 80) -> Column:
     """Windows of `target` words that overlap by `overlap`; a short text is one window, none is none."""
     if target <= 0 or not 0 <= overlap < target:
         raise ValueError("target must be positive and overlap from 0 to below it")
-    step, w = target - overlap, words(text)
-    n = F.size(w)
-    k = F.when(n == 0, 0).when(n <= target, 1).otherwise(1 + F.ceil((n - target) / step)).cast("int")
-    starts = F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(w, i * step + 1, target))
+    step = target - overlap
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        k = F.when(n == 0, 0).when(n <= target, 1).otherwise(1 + F.ceil((n - target) / step)).cast("int")
+        starts = F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(w, i * step + 1, target))
+
+    return let(words(text), cut)
 
 
 def query_terms(query: Column) -> Column:
@@ -168,10 +180,11 @@ def snippet(text: Column, terms: Column, window: int = 220) -> Column:
 
     Without a term, the beginning. Ellipses mark what was cut, but not before a sentence.
     """
-    plain = collapse(text)
+    return let(collapse(text), lambda plain: let(F.array_min(F.filter(F.transform(terms, lambda t: F.instr(F.lower(plain), t)), lambda i: i > 0)) - 1, lambda at: _around(plain, at, window)))
+
+
+def _around(plain: Column, at: Column, window: int) -> Column:
     n = F.length(plain)
-    found = F.filter(F.transform(terms, lambda t: F.instr(F.lower(plain), t)), lambda i: i > 0)
-    at = F.array_min(found) - 1
     back = F.greatest(F.lit(0), at - window // 2)
     near = F.substring(plain, back + 1, at - back)
     upto = F.length(F.regexp_extract(near, r"(?s)\A(.*[.?!]\s+(?=[A-ZÁÉÍÓÚÜÑ]))", 1))

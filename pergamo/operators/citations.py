@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pergamo.functions.text import let
+
 # Anchor, list grammar, bounds, context.
 ANCHOR = r"(?i)\bFallos\s*:\s*"
 PAIR = r"\d{1,3}\s*:\s*\d{1,4}"
@@ -32,9 +34,13 @@ def sites(text: Column) -> Column:
     breaks this or the bounds ends the list.
     """
     s = F.regexp_replace(text, r"(?U)\s+", " ")
-    parts = F.split(s, ANCHOR, -1)
-    marks = F.regexp_extract_all(s, F.lit(ANCHOR), F.lit(0))
-    ends = F.aggregate(
+    cut = F.struct(F.split(s, ANCHOR, -1).alias("parts"), F.regexp_extract_all(s, F.lit(ANCHOR), F.lit(0)).alias("marks"))
+    return let(cut, lambda c: let(_spans(c["parts"], c["marks"]), lambda ends: _read(c["parts"], c["marks"], ends)))
+
+
+def _spans(parts: Column, marks: Column) -> Column:
+    """Where each anchor and the text after it begin."""
+    return F.aggregate(
         F.sequence(F.lit(0), F.size(marks)),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<desde:int,texto:int>>").alias("out")),
         lambda a, k: F.struct(
@@ -44,6 +50,8 @@ def sites(text: Column) -> Column:
         lambda a: a["out"],
     )
 
+
+def _read(parts: Column, marks: Column, ends: Column) -> Column:
     def read(rest: Column, span: Column) -> Column:
         head, tail = F.regexp_extract(rest, LIST, 1), F.regexp_extract(rest, LIST, 2)
         first = (F.regexp_extract(head, r"\A(\d+)", 1).cast("int"), F.regexp_extract(head, r"(\d+)\z", 1).cast("int"))
@@ -62,7 +70,7 @@ def sites(text: Column) -> Column:
         done = F.aggregate(F.regexp_extract_all(tail, F.lit(ITEM), F.lit(0)), start, step)
         return F.when(good, F.struct(done["out"].alias("pares"), span["desde"].alias("desde"), (span["texto"] + done["size"]).alias("hasta")))
 
-    found = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(marks))), lambda k: read(F.get(parts, k), F.get(ends, k - 1)))
+    found = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(marks))), lambda k: let(F.get(parts, k), lambda rest: read(rest, F.get(ends, k - 1))))
     return F.filter(found, lambda x: x.isNotNull())
 
 

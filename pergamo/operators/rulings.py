@@ -89,11 +89,15 @@ def segment_summary(rulings: DataFrame) -> DataFrame:
 
 def _shared_page(text: Column) -> Column:
     """What a page keeps for the ruling that ends on it: all before the next caption, and the note on its date."""
-    ls = T.lines(text)
-    captions = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ls) - 1)), lambda i: F.coalesce(is_caption(F.get(ls, i)), F.lit(False)))
-    cut = F.coalesce(F.get(captions, F.lit(0)), F.size(ls))
-    note = F.slice(F.filter(F.slice(ls, cut + 1, F.greatest(F.size(ls) - cut, F.lit(0))), lambda x: x.rlike(NOTE_DATE)), 1, 1)
-    return F.array_join(F.concat(F.slice(ls, F.lit(1), cut), note), "\n")
+
+    def keep(ls: Column) -> Column:
+        captions = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ls) - 1)), lambda i: F.coalesce(is_caption(F.get(ls, i)), F.lit(False)))
+        return T.let(F.coalesce(F.get(captions, F.lit(0)), F.size(ls)), lambda cut: F.array_join(F.concat(F.slice(ls, F.lit(1), cut), note(ls, cut)), "\n"))
+
+    def note(ls: Column, cut: Column) -> Column:
+        return F.slice(F.filter(F.slice(ls, cut + 1, F.greatest(F.size(ls) - cut, F.lit(0))), lambda x: x.rlike(NOTE_DATE)), 1, 1)
+
+    return T.let(T.lines(text), keep)
 
 
 def ruling_pages(rulings: DataFrame, pages: DataFrame) -> DataFrame:
@@ -139,7 +143,10 @@ def _signers(block: Column) -> Column:
 
 def judges(text: Column) -> Column:
     """Signers: the first line of names with two of them (it may go on for two lines), else one name after a closing formula."""
-    ls = F.transform(T.lines(text), T.strip)
+    return F.coalesce(T.let(F.transform(T.lines(text), T.strip), _signed), F.array().cast("array<string>"))
+
+
+def _signed(ls: Column) -> Column:
     at = F.sequence(F.lit(0), F.size(ls) - 1)
     line = lambda i: F.coalesce(F.get(ls, i), F.lit(""))
 
@@ -151,13 +158,15 @@ def judges(text: Column) -> Column:
     signed = F.transform(F.filter(at, lambda i: line(i).rlike(SIGNATURES)), lambda i: _signers(block(i)))
     several = F.get(F.filter(signed, lambda s: F.size(s) >= 2), F.lit(0))
     after = F.flatten(F.transform(F.filter(at, lambda i: line(i).rlike(CLOSING)), lambda i: F.transform(F.filter(F.array(i + 1, i + 2, i + 3), lambda k: line(k).rlike(SINGLE_SIGNER)), lambda k: _signers(line(k)))))
-    one = F.get(F.filter(after, lambda s: F.size(s) > 0), F.lit(0))
-    return F.coalesce(several, one, F.array().cast("array<string>"))
+    return F.coalesce(several, F.get(F.filter(after, lambda s: F.size(s) > 0), F.lit(0)))
 
 
 def origin_court(text: Column) -> Column:
     """What follows `Tribunal de origen:`, with the next line unless it ends there, up to the first full stop."""
-    ls = T.lines(text)
+    return T.let(T.lines(text), _origin)
+
+
+def _origin(ls: Column) -> Column:
     i = F.get(F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.get(ls, i).rlike(ORIGIN)), F.lit(0))
     value = T.strip(F.regexp_extract(F.get(ls, i), ORIGIN, 1))
     more = F.when(~value.endswith("."), F.concat(F.lit(" "), T.strip(F.get(ls, i + 1))))
