@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pergamo.llm.common import CHUNK, apply, chunks, map_batches, mix64, table
 from pergamo.plans.bitmap import BUCKET, filter_bits
+from pergamo.plans.skew import attach_groups
 from pergamo.session import settle
 
 #: Words of a window that counts as a repeat, and of a seed.
@@ -20,6 +21,8 @@ WINDOW, SEED = 13, 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Removed runs, of all documents together, that are broadcast to the last pass; more of them are joined by a shuffle.
 BROADCAST_RUNS = 2_000_000
+#: Copies of whole texts, in rows of 16 bytes, that are broadcast; more of them are joined by a shuffle.
+BROADCAST_COPIES = 1_000_000
 
 
 @cache
@@ -163,24 +166,41 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return map_batches(repeats, merge, f"id {kind}, starts array<int>, ends array<int>")
 
 
+def later_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(copy_id, copy_hash): ids, with a hash of the text, of texts that a smaller id has as a whole."""
+    rows = docs.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("sha"), F.xxhash64(text_col).alias("copy_hash")).where("id is not null and sha is not null")
+    low = rows.groupBy("sha").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    rows, low = settle(rows), settle(low)
+    found = attach_groups(rows, low, "sha", "n", rows.count(), F.col("id")).where("id > low")
+    return found.select(F.col("id").alias("copy_id"), "copy_hash").distinct()
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
-    Words in repeated_runs() go; windows are judged on the input, not on what is left. What stays is joined by
-    one space. Null texts have no words. Rows with a null id lose nothing and nothing is lost to them. Rows that
+    Words in repeated_runs() go. A text that a smaller id has as a whole goes from a window's length on, so only
+    the first of equal texts is searched. Windows are judged on the input, not on what is left. What stays is
+    joined by one space. Null texts have no words. Rows with a null id lose nothing and nothing is lost to them. Rows that
     share an id lose nothing to each other, and each loses the runs found for that id. Documents of fewer words
     than a window lose nothing. An empty table gives no rows. Other columns are not read.
     """
-    runs = settle(repeated_runs(docs, id_col, text_col, window))
+    docs = docs.select(id_col, text_col)
+    copies = settle(later_copies(docs, id_col, text_col))
+    few = (lambda df: F.broadcast(df)) if copies.count() <= BROADCAST_COPIES else (lambda df: df)
+    is_copy = (F.col("copy_id") == F.col(id_col)) & (F.col("copy_hash") == F.xxhash64(text_col))
+    runs = settle(repeated_runs(docs.join(few(copies), is_copy, "left_anti"), id_col, text_col, window))
     n = runs.agg(F.sum(F.size("starts"))).first()[0] or 0
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(runs) if n <= BROADCAST_RUNS else runs, "id", "left").select("id", "text", "starts", "ends")
+    found = docs.select(F.col(id_col), F.col(text_col)).join(few(copies), is_copy, "left").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("copy_id").isNotNull().alias("copy"))
+    found = found.join(F.broadcast(runs) if n <= BROADCAST_RUNS else runs, "id", "left").select("id", "text", "starts", "ends", "copy")
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text, starts, ends in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+        for text, starts, ends, copy in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4))):
             words = text.encode("utf-8", "surrogatepass").split() if text else []
             n, kept, at = len(words), [], 0
+            if copy and n >= window:
+                starts, ends = [0], [n]
             for a, e in zip(starts or (), ends or ()):
                 kept += words[at:a]
                 at = e
