@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pergamo import fixtures as X
+from pergamo import schemas
 from pergamo.functions import text as T
 from pergamo.functions.parties import party_type
 from pergamo.operators import abstracts as A
@@ -21,6 +22,7 @@ from pergamo.operators import lexical, metrics, search, vectors
 from pergamo.operators import pages as P
 from pergamo.operators import rulings as R
 from pergamo.operators import sections as S
+from pergamo.plans import stages
 from pergamo.streaming.ingest import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -387,3 +389,91 @@ def abstract_records(spark, d):
 @query(values([(347, "I", "2024", 2024, 2024, "11"), (347, "II", "2024", 2024, 2024, "12"), (21, None, "1879/1880", 1879, 1880, "3")], "numero", "volumen", "anio", "anio_desde", "anio_hasta", "csjn_tomo_id"))
 def catalog_rows(spark, d):
     return A.catalog_entries(spark.createDataFrame([(X.CATALOG,)], "html string"))
+
+
+@query("SELECT CAST(o_custkey % 50 AS INT) AS tomo, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def citations_by_volume(spark, d):
+    c = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("cita"))
+    return Q.count_by_volume(c, t(spark, d, "orders").select(F.col("o_orderkey").alias("cita"), (F.col("o_custkey") % 50).cast("int").alias("tomo")))
+
+
+@query("SELECT count(DISTINCT (l_orderkey, l_linenumber)) AS referencias, count(*) AS aristas, count(DISTINCT (l_suppkey, l_partkey)) AS destinos, count(DISTINCT l_orderkey) AS citantes, count(DISTINCT l_suppkey) AS tomos FROM lineitem")
+def citation_graph(spark, d):
+    return Q.graph_summary(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("cita"), F.col("l_linenumber").alias("sitio"), F.col("l_suppkey").alias("tomo_citado"), F.col("l_partkey").alias("pagina_citada")))
+
+
+def line_abstracts(spark, d) -> DataFrame:
+    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("cita"), F.col("l_linenumber").alias("orden"), F.col("l_shipdate").cast("string").alias("texto"), F.array("l_returnflag", "l_linestatus").alias("voces"), F.col("l_returnflag").alias("materia"), F.col("l_partkey").cast("string").alias("id_documento"))
+
+
+@query("SELECT l_orderkey AS cita, CAST(count(*) AS INT) AS n, CAST(min(l_linenumber) AS INT) AS primero FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
+def abstracts_by_ruling(spark, d):
+    x = A.abstracts_by_ruling(line_abstracts(spark, d), t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("cita")))
+    return x.select("cita", F.size("sumarios").alias("n"), F.get("sumarios", F.lit(0))["orden"].alias("primero"))
+
+
+@query("WITH n AS (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 4 = 0 AND l_linenumber = 1) SELECT cita, count(*) AS n FROM (SELECT l_orderkey AS cita FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM n) UNION ALL SELECT l_orderkey FROM n) GROUP BY cita")
+def replace_abstracts(spark, d):
+    old = line_abstracts(spark, d)
+    return A.replace_abstracts(old, old.where("cita % 4 = 0 and orden = 1")).groupBy("cita").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT l_orderkey AS cita, unnest([l_returnflag, l_linestatus]) AS valor FROM lineitem")
+def ruling_descriptors(spark, d):
+    return A.ruling_descriptors(line_abstracts(spark, d))
+
+
+@query("SELECT CAST(o_custkey % 50 AS INT) AS tomo, count(DISTINCT o_orderkey) AS fallos, count(DISTINCT l_orderkey) AS con_sumario, count(l_linenumber) AS sumarios, count(DISTINCT l_returnflag) + count(DISTINCT l_linestatus) AS voces FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def sync_summary(spark, d):
+    r = t(spark, d, "orders").select(F.col("o_orderkey").alias("cita"), (F.col("o_custkey") % 50).cast("int").alias("tomo"), F.lit(1).alias("pagina_inicio"))
+    return A.sync_summary(line_abstracts(spark, d), r)
+
+
+@query("SELECT CAST(o_custkey % 20 AS INT) AS tomo, count(*) AS fallos, count(*) FILTER (WHERE o_orderkey % 3 > 0) AS con_fecha, count(*) FILTER (WHERE o_orderkey % 5 > 0) AS con_jueces, count(*) FILTER (WHERE o_orderkey % 3 > 0 AND o_orderkey % 5 > 0) AS con_ambos, count(*) FILTER (WHERE o_orderstatus = 'F') AS con_tribunal, count(*) AS con_recurso, 0 AS con_demandado FROM orders GROUP BY 1".replace("0 AS con_demandado", "CAST(0 AS BIGINT) AS con_demandado"))
+def metadata_coverage(spark, d):
+    o = F.col("o_orderkey")
+    x = t(spark, d, "orders").select((F.col("o_custkey") % 20).cast("int").alias("tomo"), F.when(o % 3 > 0, "2020-01-01").alias("fecha"), F.when(o % 5 > 0, F.array(F.lit("j"))).otherwise(F.array().cast("array<string>")).alias("jueces"), F.when(F.col("o_orderstatus") == "F", "t").alias("tribunal_origen"), F.lit("r").alias("tipo_recurso"), F.lit(None).cast("string").alias("demandado"))
+    return R.metadata_coverage(x)
+
+
+@query("SELECT CAST(l_suppkey % 20 AS INT) AS tomo, count(*) AS caratulas, CAST(sum(l_linenumber) AS BIGINT) AS referencias, max(l_linenumber) AS ultima FROM lineitem GROUP BY 1")
+def index_summary(spark, d):
+    e = t(spark, d, "lineitem").select((F.col("l_suppkey") % 20).cast("int").alias("tomo"), F.sequence(F.lit(1), F.col("l_linenumber")).alias("paginas"))
+    return P.index_summary(e).select("tomo", "caratulas", "referencias", F.element_at("paginas_citadas", -1).alias("ultima"))
+
+
+@query("SELECT doc_id AS chunk_id, 'hashed-64' AS modelo, CAST(64 AS INT) AS dimension, 1.0::DOUBLE AS norma FROM documents WHERE regexp_matches(text, '[A-Za-z0-9]')")
+def embed_documents(spark, d):
+    docs = t(spark, d, "documents").where(F.col("text").rlike("[A-Za-z0-9]")).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("texto"))
+    e = vectors.embed(docs, vectors.HashedProjection(64))
+    return e.select("chunk_id", "modelo", F.size("vector").alias("dimension"), F.round(F.sqrt(vectors.dot(F.col("vector"), F.col("vector"))), 3).alias("norma"))
+
+
+@query("SELECT 'key cita' AS rule, (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS n UNION ALL SELECT 'actor_tipo in enumeration', (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F')")
+def schema_violations(spark, d):
+    x = t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("cita"), F.when(F.col("o_orderstatus") == "F", "estado").otherwise("otro").alias("actor_tipo"))
+    return schemas.violations(x, "fallos")
+
+
+@query(values([("400:1", 1, "solo_lexico", "Pérez, Juan c/ Estado Nacional s/ daños")], "cita", "orden", "modo", "caratula"))
+def search_rulings(spark, d):
+    p, r = volume(spark)
+    x = R.with_metadata(R.ruling_texts(r, p))
+    ch = C.chunk_sections(S.sections(x), x)
+    return search.search_rulings(ch, x, None, None, "responsabilidad estado daños").select("cita", "orden", "modo", "caratula")
+
+
+@query(values([("400:1", 2, 3, 1)], "cita", "secciones", "citas", "citado_por"))
+def ruling_detail(spark, d):
+    p, r = volume(spark)
+    x = R.ruling_texts(r, p)
+    cited = Q.extract(x)
+    none = spark.createDataFrame([], "cita string, orden int, texto string, voces array<string>, materia string")
+    return search.ruling_detail("400:1", r, S.sections(x), cited, Q.incoming(cited, r), none).select("cita", *[F.size(c).alias(c) for c in ("secciones", "citas", "citado_por")])
+
+
+@query(values([("registrado", "descargar", 0.0), ("descargado", "extraer", 0.125), ("extraido", None, 0.25), ("limpio", "segmentar", 0.375), ("segmentado", "estructurar", 0.5), ("estructurado", "fragmentar", 0.625), ("fragmentado", "embeber", 0.75), ("embebido", "indexar", 0.875), ("indexado", None, 1.0)], "estado", "sigue", "avance").replace("SELECT *", "SELECT estado, sigue, CAST(avance AS DOUBLE) AS avance"))
+def stage_machine(spark, d):
+    """What follows each state of a scanned volume."""
+    rows = [(s, stages.next_stage(s, stages.PARKED), stages.progress(s)) for s in stages.STATES]
+    return spark.createDataFrame(rows, "estado string, sigue string, avance double")
