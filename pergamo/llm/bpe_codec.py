@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from pergamo.llm.bpe_core import CACHE, Kept, Merges, fold, loaded
-from pergamo.llm.common import map_batches, table
+from pergamo.llm.common import CHUNK, chunks, map_batches, table
 
 #: What the word tokenizer keeps of a text; all else separates.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -47,21 +48,19 @@ class TrieCodec:
         self._walk(root)
 
     def _walk(self, root: dict) -> None:
-        path: list[str] = []
-        last, back = [-1], [0]
-        todo = [(0, c, n) for c, n in root.items()]
+        last, back, step = [-1], [0], self.model.last_token
+        todo = list(root.items())
         while todo:
-            depth, c, node = todo.pop()
-            del path[depth:], last[depth + 1 :], back[depth + 1 :]
-            path.append(c)
-            s = "".join(path)
+            s, node = todo.pop()
+            d = len(s)
+            del last[d:], back[d:]  # what is left are the states of the path above
             if END in node:
-                self._finish(node[END], s, last, back)
-            if len(node) > (END in node):
-                t, n = self.model.last_token(s, depth + 1, last)
+                self._finish(node.pop(END), s, last, back)
+            if node:
+                t, n = step(s, d, last)
                 last.append(t)
                 back.append(n)
-                todo += [(depth + 1, k, x) for k, x in node.items() if k != END]
+                todo += [(s + c, x) for c, x in node.items()]
 
     def _finish(self, words: list[str], s: str, last: list[int], back: list[int]) -> None:
         t, n = self.model.last_token(s, len(s), last, self.model.suffix)
@@ -70,7 +69,7 @@ class TrieCodec:
             ids.append(last[d])
             d -= back[d]
         ids.reverse()
-        made = (np.array(ids, "<u4").tobytes(), " ".join([self.model.names[i] for i in ids]))
+        made = (pack(f"<{len(ids)}I", *ids), " ".join([self.model.names[i] for i in ids]))
         for w in words:
             self.known.put(w, made)
 
@@ -96,7 +95,7 @@ class TrieCodec:
         return out
 
     def _special(self, name: str) -> tuple[bytes, str]:
-        return np.array([self.model.specials[name]], "<u4").tobytes(), name
+        return pack("<I", self.model.specials[name]), name
 
 
 _codecs: dict[int, TrieCodec] = {}
@@ -135,8 +134,8 @@ def bpe_encode(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("n_t
 
     def encode(b: pa.RecordBatch) -> pa.RecordBatch:
         c, texts, cols = codec(shared.value), b.column(1).to_pylist(), {o: [] for o in outputs}
-        for at in range(0, len(texts), 64):
-            for i, s in c.encode([t or "" for t in texts[at : at + 64]]):
+        for a, e in chunks(texts, CHUNK // 2):
+            for i, s in c.encode([t or "" for t in texts[a:e]]):
                 for o in outputs:
                     cols[o].append(made[o](i, s))
         return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(cols[o], kinds[o][1]) for o in outputs]], names=["id", *outputs])
