@@ -11,19 +11,16 @@ from pergamo.session import settle
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node on an edge; component is the smallest node that links reach.
 
-    Distributed union-find: each round hooks every node on the smallest label among its neighbours, then
-    replaces each label by its label's label, so paths shorten by half or more a round. Every round is
-    written to the shared folder; the driver sees one count a round. Nulls and self-links are ignored.
+    Distributed union-find: each round gives every node the smallest label among its neighbours, then replaces
+    each label by its label's label, so paths shorten by half or more a round; it ends when nothing changes.
+    Every round is written to the shared folder; the driver sees one flag a round. Nulls and self-links are ignored.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     both = settle(both.union(both.select("v", "u")).distinct())
     labels = settle(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("m"))
-        hooked = labels.join(near, labels.node == near.u).select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        # a root whose members saw something smaller hooks too
-        roots = hooked.groupBy("old").agg(F.min("component").alias("low"))
-        hooked = settle(hooked.join(roots, "old").select("node", "old", F.least("component", "low").alias("component")))
+        hooked = settle(labels.join(near, labels.node == near.u).select("node", F.col("component").alias("old"), F.least("component", "m").alias("component")))
         up = hooked.select(F.col("node").alias("component"), F.col("component").alias("top"))
         jumped = settle(hooked.join(up, "component").select("node", "old", F.col("top").alias("component")))
         labels = jumped.select("node", "component")
