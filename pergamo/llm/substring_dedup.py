@@ -83,7 +83,7 @@ def _batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[p
     """Ids and texts of documents long enough to have a window and with an id."""
     for b in batches:
         texts = b.column(1).to_pylist()
-        for a, e in chunks(texts, CHUNK // 2):
+        for a, e in chunks(texts, CHUNK // 4):
             own = [i for i in range(a, e) if texts[i] and len(texts[i]) >= 2 * window - 1]
             if own:
                 yield b.column(0).take(pa.array(own)), [texts[i].encode("utf-8", "surrogatepass") for i in own]
