@@ -11,8 +11,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from pergamo.llm.bpe_core import CACHE, Kept, Merges, fold, loaded
-from pergamo.llm.common import CHUNK, chunks, map_batches, table
+from pergamo.llm.bpe_core import CACHE, Kept, Merges, fold
+from pergamo.llm.common import CHUNK, chunks, hold, map_batches, table
 
 #: What the word tokenizer keeps of a text; all else separates.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -69,44 +69,34 @@ class TrieCodec:
             ids.append(last[d])
             d -= back[d]
         ids.reverse()
-        made = (pack(f"<{len(ids)}I", *ids), " ".join([self.model.names[i] for i in ids]))
+        made = pack(f"<{len(ids)}I", *ids)
         for w in words:
             self.known.put(w, made)
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Ids as little-endian bytes and the decoded string of each text."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian bytes."""
         out, at, known = [], 0, self.known
         while at < len(texts):  # so many texts at once that their words fit the cache
             cut: list[list[list[str]]] = []
             words: set[str] = set()
-            while at < len(texts) and len(words) < CACHE // 8:
+            while at < len(texts) and len(words) < CACHE // 10:
                 parts = self.model.segments(texts[at])
                 cut.append([words_of(p) if i % 2 == 0 else [p] for i, p in enumerate(parts)])
                 words.update(*cut[-1][::2])
                 at += 1
             self.learn(words)
             for parts in cut:
-                ids, names = [], []
-                for i, here in enumerate(parts):
-                    got = [known[w] for w in here] if i % 2 == 0 else [self._special(here[0])]
-                    ids.append(b"".join([g[0] for g in got]))
-                    names += [g[1] for g in got]
-                out.append((b"".join(ids), " ".join(names)))
+                out.append(b"".join([b"".join([known[w] for w in here]) if i % 2 == 0 else pack("<I", self.model.specials[here[0]]) for i, here in enumerate(parts)]))
         return out
 
-    def _special(self, name: str) -> tuple[bytes, str]:
-        return pack("<I", self.model.specials[name]), name
-
-
-_codecs: dict[int, TrieCodec] = {}
+    def decode(self, ids: bytes) -> str:
+        """The names of the tokens, joined by one space."""
+        return " ".join(map(self.model.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def codec(source: str) -> TrieCodec:
-    model = loaded(source)
-    if id(model) not in _codecs:
-        _codecs.clear()
-        _codecs[id(model)] = TrieCodec(model)
-    return _codecs[id(model)]
+    """That of this worker process, built once."""
+    return hold("bpe_codec", source, lambda: TrieCodec(Merges(source)))
 
 
 def _source(tokenizer: str) -> str:
@@ -124,20 +114,20 @@ def bpe_encode(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("n_t
     """
     kinds = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
     made = {
-        "n_tokens": lambda i, s: len(i) // 4,
-        "ids": lambda i, s: np.frombuffer(i, "<i4"),
-        "decoded": lambda i, s: s,
-        "ids_sha256": lambda i, s: hashlib.sha256(i).hexdigest(),
-        "decoded_sha256": lambda i, s: hashlib.sha256(s.encode()).hexdigest(),
+        "n_tokens": lambda c, i: len(i) // 4,
+        "ids": lambda c, i: np.frombuffer(i, "<i4"),
+        "decoded": lambda c, i: c.decode(i),
+        "ids_sha256": lambda c, i: hashlib.sha256(i).hexdigest(),
+        "decoded_sha256": lambda c, i: hashlib.sha256(c.decode(i).encode()).hexdigest(),
     }
     shared = docs.sparkSession.sparkContext.broadcast(_source(tokenizer))
 
     def encode(b: pa.RecordBatch) -> pa.RecordBatch:
         c, texts, cols = codec(shared.value), b.column(1).to_pylist(), {o: [] for o in outputs}
-        for a, e in chunks(texts, CHUNK // 2):
-            for i, s in c.encode([t or "" for t in texts[a:e]]):
+        for a, e in chunks(texts, CHUNK // 4):
+            for i in c.encode([t or "" for t in texts[a:e]]):
                 for o in outputs:
-                    cols[o].append(made[o](i, s))
+                    cols[o].append(made[o](c, i))
         return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(cols[o], kinds[o][1]) for o in outputs]], names=["id", *outputs])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -149,7 +139,7 @@ def bpe_decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_c
     shared = encoded.sparkSession.sparkContext.broadcast(_source(tokenizer))
 
     def decode(b: pa.RecordBatch) -> pa.RecordBatch:
-        names = loaded(shared.value).names
+        names = codec(shared.value).model.names
         got = [None if ids is None else " ".join([names[i] for i in ids if i in names]) for ids in b.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], names=["id", "decoded"])
 

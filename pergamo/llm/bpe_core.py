@@ -14,7 +14,7 @@ import regex
 
 NEVER = 1 << 60
 #: Entries kept per worker before a cache starts anew; only speed depends on it.
-CACHE = 300_000
+CACHE = 240_000
 
 
 def byte_symbols() -> list[str]:
@@ -147,18 +147,6 @@ class Kept(dict):
         self[key] = value
 
 
-_loaded: dict[int, tuple[str, Merges]] = {}
-
-
-def loaded(source: str) -> Merges:
-    """The model of this worker process, built once."""
-    at = hash(source)
-    if at not in _loaded or _loaded[at][0] != source:
-        _loaded.clear()
-        _loaded[at] = (source, Merges(source))
-    return _loaded[at][1]
-
-
 def fold(text: str) -> str:
     """NFC, then lower case character by character (no final sigma rule)."""
     if not text.isascii():

@@ -20,6 +20,21 @@ def apply(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return df.mapInArrow(fn, schema)
 
 
+_held: dict[str, tuple[object, object]] = {}
+
+
+def hold(name: str, key: object = None, build: Callable[[], object] | None = None) -> object:
+    """What a worker process keeps between tasks: the tables and caches of one operator at a time.
+
+    Asked for under another name or key, the old ones go first, so operators that follow each other in one
+    application don't add up in a worker's memory.
+    """
+    if name not in _held or _held[name][0] != key:
+        _held.clear()
+        _held[name] = (key, build() if build else None)
+    return _held[name][1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pergamo.llm.common import apply, chunks, map_batches, mix64, table
+from pergamo.llm.common import apply, chunks, hold, map_batches, mix64, table
 
 #: Hash buckets, n-gram lengths, additive smoothing; labelled rows that training reads, in expectation; languages at most.
 BUCKETS, LENGTHS, SMOOTH, FIT_ROWS, MOST_LANGS = 1 << 16, (1, 2, 3), 0.1, 20_000, 256
@@ -51,7 +51,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, score = [], []
-        for a, b in chunks(texts, 1_000_000):
+        for a, b in chunks(texts, 500_000):
             real = [i for i in range(a, b) if texts[i] and LETTER.search(texts[i])]
             here = {i: (UNKNOWN, 0.0) for i in range(a, b)}
             if real and self.langs:
@@ -76,10 +76,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
 
     def count(batches):
+        hold("language_id")
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for a, e in chunks(texts, 1_000_000):
+            for a, e in chunks(texts, 500_000):
                 for lang in {*langs[a:e]}:
                     own = [texts[i] for i in range(a, e) if langs[i] == lang]
                     acc = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
@@ -112,6 +113,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep)]
 
     def predict(b: pa.RecordBatch) -> pa.RecordBatch:
+        hold("language_id")
         langs, score = shared.value.predict(b.column(0).to_pylist())
         return pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[id_col, *keep, "lang_pred", "score"])
 
@@ -127,8 +129,15 @@ def held_out(id_col: str = "doc_id"):
 def keep_known(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs, with all their columns, without those whose language is `und`; trained on the rows not held out."""
     model = fit(docs.where(~held_out(id_col)))
-    rows = docs.select(F.col(id_col).alias("id"), "text", F.struct(*docs.columns).alias("row"))
-    return identify(rows, model, "id", keep=("row",)).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def keep(batches):
+        hold("language_id")
+        for b in batches:
+            langs, _ = shared.value.predict(b.column(at).to_pylist())
+            yield b.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+
+    return apply(docs, keep, docs.schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

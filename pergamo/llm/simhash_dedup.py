@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pergamo.llm.common import apply, map_batches, mix64, table
+from pergamo.llm.common import apply, hold, map_batches, mix64, table
 from pergamo.plans.components import components
 from pergamo.plans.skew import attach_groups
 from pergamo.session import settle
@@ -47,6 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): the fingerprint as a signed long. No shuffle."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        hold("simhash_dedup")
         got = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], names=["id", "fp"])
 

@@ -12,8 +12,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from pergamo.llm.bpe_core import CACHE, Kept, Merges, loaded
-from pergamo.llm.common import CHUNK, chunks, map_batches, table
+from pergamo.llm.bpe_core import CACHE, Kept, Merges
+from pergamo.llm.common import CHUNK, chunks, hold, map_batches, table
 
 #: How a byte-level tokenizer cuts a text before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -115,15 +115,9 @@ def cut(text: str) -> list[str]:
     return (ASCII_PIECES if text.isascii() else PIECES).findall(text)
 
 
-_counters: dict[int, PrefixCounter] = {}
-
-
 def counter(source: str) -> PrefixCounter:
-    model = loaded(source)
-    if id(model) not in _counters:
-        _counters.clear()
-        _counters[id(model)] = PrefixCounter(model)
-    return _counters[id(model)]
+    """That of this worker process, built once."""
+    return hold("token_counts", source, lambda: PrefixCounter(Merges(source)))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, budget: int = LIMIT, keep_prefixes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
