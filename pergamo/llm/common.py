@@ -12,6 +12,8 @@ from pergamo.session import ship_code
 
 #: Bytes of text handled at once in one worker: bounds the arrays beside an Arrow batch.
 CHUNK = 4_000_000
+#: Rows that a mapping function sees at once.
+ROWS = 1000
 
 
 def apply(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -40,12 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """One output batch an input batch."""
+    """One output batch for each ROWS rows of input, so what a batch needs beside itself stays small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield fn(b)
+            for at in range(0, b.num_rows, ROWS):
+                yield fn(b.slice(at, ROWS))
 
     return apply(df, run, schema)
 
