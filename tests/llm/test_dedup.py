@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pergamo.llm import line_dedup, simhash_dedup, substring_dedup, vector_dedup
 from pergamo.llm.exact_dedup import exact_dedup
@@ -180,6 +181,29 @@ def test_lines(spark, make):
     assert all(len(got[i] or "") >= len(w or "") for i, w in enumerate(want))  # and never link what isn't similar
 
 
+def slow_windows(line, k=5):
+    plain = re.sub("[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
+    return {plain[i : i + k] for i in range(max(1, len(plain) - k + 1))}
+
+
+def test_lines_by_character_windows(spark, make):
+    """A typo within a line, lines without spaces, and characters beyond 16 bits; similarity as brute force has it."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    base = [" ".join(word() for _ in range(12)) for _ in range(30)] + ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60)) for _ in range(10)] + ["".join(chr(rng.randrange(0x20000, 0x20400)) for _ in range(60)) for _ in range(10)]
+    typo = [x[: len(x) // 2] + "é" + x[len(x) // 2 + 1 :] for x in base]
+    far = [x[: len(x) // 2] + word() + word() + word() for x in base]
+    for a, b, c in zip(base, typo, far):
+        a, b, c = map(slow_windows, (a, b, c))
+        assert len(a & b) >= 0.8 * len(a | b) and len(a & c) < 0.8 * len(a | c)
+    got = {r.doc_id: r._n_dropped for r in line_dedup.line_dedup(make([*base, *typo, *far])).collect()}
+    n = len(base)
+    assert sum(got[i] for i in range(n, 2 * n)) >= 0.9 * n  # bands may miss a pair
+    assert not any(got[i] for i in [*range(n), *range(2 * n, 3 * n)])
+    row = spark.range(1).select(line_dedup.shingles(F.lit(" Ab\t\tcdeF ")).alias("a"), line_dedup.shingles(F.lit("abc")).alias("b"), line_dedup.shingles(F.lit("\U00020000" * 9)).alias("c"), line_dedup.shingles(F.lit(" ")).alias("d")).first()
+    assert [len(x) for x in row] == [len(slow_windows("ab cdef")), 1, 1, 0]
+
+
 def test_line_columns_and_counts(spark, make):
     docs = make(["a b c d\na b c d", "a b c d\nx"])
     got = sorted(line_dedup.line_dedup(docs).collect())
