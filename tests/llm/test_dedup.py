@@ -204,6 +204,24 @@ def test_lines_by_character_windows(spark, make):
     assert [len(x) for x in row] == [len(slow_windows("ab cdef")), 1, 1, 0]
 
 
+def test_lines_of_a_crowded_bucket(spark, make, monkeypatch):
+    """Hundreds of lines in one bucket, each like its neighbours only: one chain and one line apart, dealt to many blocks."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    monkeypatch.setattr(line_dedup, "bands", lambda h: [F.lit(1).cast("long"), *[F.lit(None).cast("long")] * (line_dedup.BANDS - 1)])
+    rng = random.Random(6)
+    chars = [chr(0x4E00 + i) for i in range(5000)]
+    rng.shuffle(chars)
+    lines = ["".join(chars[6 * i : 6 * i + 100]) for i in range(400)] + ["".join(chars[4000:4100])]
+    sets = [slow_windows(x) for x in lines]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert near == [(i, i - 1) for i in range(1, 400)]
+    order = list(range(len(lines)))
+    rng.shuffle(order)
+    got = {i: r._n_dropped for r, i in ((r, order[r.doc_id]) for r in line_dedup.line_dedup(make([lines[i] for i in order])).collect())}
+    first = next(i for i in order if i < 400)
+    assert [i for i in got if not got[i]] in ([first, 400], [400, first])
+
+
 def test_line_columns_and_counts(spark, make):
     docs = make(["a b c d\na b c d", "a b c d\nx"])
     got = sorted(line_dedup.line_dedup(docs).collect())
