@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pergamo.llm.common import apply, hold, map_batches, mix64, table
@@ -44,14 +44,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long. No shuffle."""
+    """(id, fp, text_hash): the fingerprint as a signed long, and Spark's hash of the text. No shuffle."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         hold("simhash_dedup")
         got = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], names=["id", "fp"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(got), b.column(2)], names=["id", "fp", "text_hash"])
 
-    return map_batches(docs.select(id_col, text_col), run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return map_batches(docs.select(id_col, text_col, text_hash(text_col).alias("_hash")), run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long, text_hash long")
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.length(text_col), F.col(text_col))
 
 
 def code_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -201,25 +205,34 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and link like any other. Null ids: component_id is the smallest other id of the component, null if none.
     Repeated rows get the same component. An empty table gives no rows. Other columns are not read.
     """
-    prints = settle(fingerprints(docs, id_col, text_col, shingle))
+    prints = settle(fingerprints(docs, id_col, text_col, shingle).drop("text_hash"))
     nodes = settle(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
-    parts = components(near_pairs(nodes, most))
-    member = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("root"))
-    member = settle(member)
+    member = _roots(nodes, most)
     lows = settle(member.groupBy("root").agg(F.min("low").alias("component_id")))
     member = settle(member.join(lows, "root").select("fp", "n", "component_id"))
     out = attach_groups(prints, member, "fp", "n", prints.count(), F.col("id"))
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _roots(nodes: DataFrame, most: int) -> DataFrame:
+    """nodes with the column root: the smallest fingerprint that links reach from `fp`."""
+    parts = components(near_pairs(nodes, most))
+    return settle(nodes.join(parts, nodes.fp == parts.node, "left").select(*nodes.columns, F.coalesce("component", "fp").alias("root")))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that are not the first of their component; a repeated id stays once."""
-    found = settle(simhash_dedup(docs, id_col, text_col))
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay"))
-    n = stay.count()
-    stay = settle(stay.distinct())
-    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
-    return kept if stay.count() == n else kept.dropDuplicates([id_col])
+    """docs without those that are not the first of their component: the smallest id, null ids last, then the
+    smallest fingerprint and text hash. Decided by row, not by id; rows equal in id and text stay once."""
+    prints = settle(fingerprints(docs, id_col, text_col))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "text_hash")).alias("first")
+    nodes = settle(prints.groupBy("fp").agg(first))
+    stay = _roots(nodes, THRESHOLD).groupBy("root").agg(F.min("first").alias("first"))
+    stay = settle(stay.select(F.col("first.id").alias("_stay"), F.col("first.text_hash").alias("_stay_hash")))
+    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")) & (text_hash(text_col) == F.col("_stay_hash")), "left_semi")
+    rows = prints.join(stay, F.col("id").eqNullSafe(F.col("_stay")) & (F.col("text_hash") == F.col("_stay_hash")), "left_semi")
+    if rows.count() == stay.count():
+        return kept
+    return kept.withColumn("_hash", text_hash(text_col)).dropDuplicates([id_col, "_hash"]).select(*docs.columns)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,6 +228,23 @@ def test_line_columns_and_counts(spark, make):
     assert [(r.doc_id, r.text, r.lang, r._n_lines, r._n_dropped) for r in got] == [(0, "a b c d", "en", 2, 1), (1, "x", "en", 2, 1)]
 
 
+SHARED = [(None, "one two three four five"), (None, "six seven eight nine ten"), (None, "six seven eight nine ten"), (3, "red green blue white black"), (3, "north south east west up"), (3, "north south east west up"), (4, "one two three four five"), (5, "north south east west up")]
+
+
+def test_near_copies_with_null_and_shared_ids(spark):
+    """One row of each text stays, that with the smallest id, whatever other texts its id has."""
+    got = simhash_dedup.keep_one(spark.createDataFrame(SHARED, "doc_id long, text string"))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(map(str, got.collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in ((4, SHARED[0][1]), (None, SHARED[1][1]), (3, SHARED[3][1]), (3, SHARED[4][1])))
+
+
+def test_lines_with_null_and_shared_ids(spark):
+    a, b, c, d, e = "alpha beta gamma", "delta epsilon zeta", "eta theta iota", "kappa lambda mu", "omikron pi rho"
+    rows = [(1, a), (2, f"{a}\n{b}"), (2, f"{c}\n{d}"), (None, f"{b}\n{e}"), (None, f"{d}\n{c}\nsigma tau")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 9, r.text, r._n_dropped) for r in got.collect()) == [(1, a, 0), (2, b, 1), (2, f"{c}\n{d}", 0), (9, e, 1), (9, "sigma tau", 2)]
+
+
 def test_edges(spark, edge):
     n = edge.count()
     for df in (exact_dedup(edge), simhash_dedup.simhash_dedup(edge), substring_dedup.substring_dedup(edge), line_dedup.line_dedup(edge)):
