@@ -42,8 +42,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each document."""
-    return bpe_encode(docs, word_tokenizer())
+    """doc_id, n_tokens, ids and decoded_sha256 (of what decoding the ids gives back) of each document."""
+    return bpe_encode(docs, word_tokenizer(), ("n_tokens", "ids", "decoded_sha256"))
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup_stage), ("simhash_dedup", simhash_dedup), ("mixing", mixing), ("bpe_codec", bpe_codec)]

@@ -42,6 +42,22 @@ def test_stages(spark):
     assert P.run(spark, SMALL).count() == len(out)
 
 
+def test_last_stage_decodes(spark, make):
+    import hashlib
+
+    import corpus_pipeline as P
+    from pergamo.llm.bpe_codec import word_tokenizer
+
+    library = Tokenizer.from_file(word_tokenizer())
+    texts = ["The cat's  hat\nand I'll", "", None, "漢字 😀 x", "I'll <|endoftext|> go", "naïve " * 50]
+    out = P.STAGES[-1][1](spark, make(texts), "")
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+    for r in out.collect():
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        assert r.ids == ids and r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
+
+
 def test_stages_on_edges(spark, edge):
     import corpus_pipeline as P
 
