@@ -19,7 +19,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Share of the labelled pages a token combination needs, share of bad pages a rule needs, and the rules kept at most (by confidence, then support).
+#: Share of the labelled pages a token combination needs, share of bad pages a rule needs, and the rules that are broadcast at most; more are shuffled.
 SUPPORT, CONFIDENCE, MOST_RULES = 0.005, 0.6, 10_000
 BAD, GOOD = "label=bad", "label=good"
 
@@ -42,27 +42,36 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, site, parts))
 
 
-def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = MOST_RULES) -> DataFrame:
+def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(rule_id, tokens, confidence, support): token combinations that tell bad pages, from rows (tokens, bad).
 
-    FP-growth runs on all labelled rows; no label leaves no rules. The rules kept are `most` at most, so the
-    table that matching broadcasts has a proven size bound.
+    FP-growth runs on all labelled rows; no label leaves no rules. All rules are kept.
     """
     items = labelled.where(F.size("tokens") > 0).select(F.concat("tokens", F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items"))
     rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
     kept = rules.where(F.element_at("consequent", 1) == BAD).where(~F.array_contains("antecedent", GOOD))
-    kept = kept.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").orderBy(F.desc("confidence"), F.desc("support"), F.array_join(F.array_sort("antecedent"), " ")).limit(most)
+    kept = kept.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     return settle(kept.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support"))
 
 
+def needed_rules(rules: DataFrame) -> DataFrame:
+    """rules without those that hold all tokens of another rule of at least their confidence: where such a rule
+    fires, the other one does too."""
+    subsets = F.aggregate("tokens", F.expr("array(cast(array() as array<string>))"), lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x)))))
+    own = rules.select(F.col("rule_id").alias("whole"), F.col("confidence").alias("most"), F.size("tokens").alias("n"), F.explode(subsets).alias("part"))
+    own = own.where((F.size("part") > 0) & (F.size("part") < F.col("n"))).select("whole", "most", F.xxhash64("part").alias("part"))
+    implied = own.join(rules.select(F.col("rule_id").alias("part"), "confidence"), "part").where("confidence >= most")
+    return settle(rules.join(implied.select(F.col("whole").alias("rule_id")).distinct(), "rule_id", "left_anti").select(*rules.columns))
+
+
 def match_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_key") -> DataFrame:
     """Keys of the pages that hold all tokens of some rule, with the best confidence, by an inverted index.
 
-    The index has one row a token of a rule and is broadcast (bounded by the rules kept). A page meets only
+    The index has one row a token of a rule; it is broadcast up to MOST_RULES rules, else shuffled. A page meets only
     the postings of its own tokens; a rule fires where it met as many of its tokens as it has.
     """
     index = rules.select(F.explode("tokens").alias("token"), "rule_id", F.size("tokens").alias("need"), "confidence")
-    met = pages.select(id_col, F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
+    met = pages.select(id_col, F.explode("tokens").alias("token")).join(F.broadcast(index) if rules.count() <= MOST_RULES else index.hint("merge"), "token")
     fired = met.groupBy(id_col, "rule_id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.first("confidence").alias("confidence")).where("n = need")
     return fired.groupBy(id_col).agg(F.max("confidence").alias("confidence"))
 
@@ -89,7 +98,7 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str,
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host_of(u).alias("host"), path_of(u).alias("path"))
     bad = labels.groupBy("doc_id").agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
     labelled = rows.join(bad, rows.id == bad.doc_id).select(url_tokens(F.col("host"), F.col("path")).alias("tokens"), "bad")
-    mined = mine_rules(labelled)
+    mined = needed_rules(mine_rules(labelled))
     rule, verdict = explicit_rule(F.col("host"), F.col("path"), rules)
     judged = rows.withColumn("rule", rule).withColumn("verdict", verdict)
     if mined.isEmpty():

@@ -2,7 +2,8 @@ import pytest
 
 from pergamo.llm.language_id import fit, held_out, identify, keep_known
 from pergamo.llm.mixing import mix, source_targets, take
-from pergamo.llm.url_filter import match_rules, mine_rules, url_filter
+from pergamo.llm import url_filter as url_filter_module
+from pergamo.llm.url_filter import match_rules, mine_rules, needed_rules, url_filter
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -115,6 +116,26 @@ def test_mined_rules(spark):
     assert all(got[i] == ("block" if i % 4 == 0 else "allow") for i in range(200)) and got[500] == "block" and got[501] == "allow"
 
 
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_no_bad_site_is_pushed_out(spark, monkeypatch, most):
+    """A site of many long rules of confidence 1 and other bad sites of less: none is lost, however few rules are broadcast."""
+    monkeypatch.setattr(url_filter_module, "MOST_RULES", most)
+    deep = [(i, f"http://deep.x.net/a/b/c/d", 0) for i in range(40)]
+    weak = [(1000 * s + i, f"http://weak{s}.x.org/p", 0 if i < 7 else 1) for s in range(1, 4) for i in range(10)]
+    good = [(9000 + i, f"http://good.x.edu/p", 1) for i in range(20)]
+    rows = [*deep, *weak, *good]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], r[2], 0) for r in rows], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_filter(pages, labels, ()).collect()}
+    assert got == {r[0]: "allow" if "good" in r[1] else "block" for r in rows}
+
+
+def test_needed_rules(spark):
+    rows = [(0, ["a"], 0.8, 0.1), (2, ["a", "b"], 0.8, 0.1), (3, ["a", "c"], 0.9, 0.1), (4, ["b", "c"], 0.7, 0.1), (5, ["a", "b", "c"], 0.9, 0.1), (6, ["d", "e"], 0.6, 0.1)]
+    rules = spark.createDataFrame(rows, "n long, tokens array<string>, confidence double, support double").selectExpr("xxhash64(tokens) as rule_id", "tokens", "confidence", "support")
+    assert sorted("".join(r.tokens) for r in needed_rules(rules).collect()) == ["a", "ac", "bc", "de"]
+
+
 def test_inverted_index_matches_brute_force(spark):
     tokens = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, ["b", "c"]), (4, [])], "page_key long, tokens array<string>")
     labelled = spark.createDataFrame([(["a", "b"], True)] * 6 + [(["a"], False)] * 8 + [(["c"], True)] * 2, "tokens array<string>, bad boolean")
