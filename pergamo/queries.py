@@ -144,6 +144,12 @@ def postings_summary(spark, d):
     return lexical.build(t(spark, d, "documents"), "doc_id", "text").postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")).where("tf >= 20")
 
 
+@query(r"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY term")
+def postings_all(spark, d):
+    """Every term, rare ones too."""
+    return lexical.build(t(spark, d, "documents"), "doc_id", "text").postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+
+
 COSINE = "1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 COSINE_HITS = f"SELECT e.vec_id AS id, {COSINE} AS distancia FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distancia, id LIMIT "
 
@@ -189,13 +195,25 @@ def group_by_doc(spark, d):
     return out.select("doc_id", "total_pasajes", F.round("score", 6).alias("score"), F.get("pasajes", F.lit(0))["chunk_id"].alias("mejor"))
 
 
-@query("SELECT c.o_orderkey AS chunk_id FROM orders c JOIN customer f ON c.o_custkey = f.c_custkey WHERE c.o_orderkey % 3 = 0 AND strftime(c.o_orderdate, '%Y') BETWEEN '1995' AND '1996' AND c.o_orderstatus IS NOT NULL AND f.c_mktsegment = 'BUILDING'")
-def filter_chunks(spark, d):
+def order_chunks(spark, d) -> tuple[DataFrame, DataFrame]:
     ch = t(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_orderkey").cast("string").alias("cita"), F.lit("voto").alias("seccion_tipo"), "o_custkey", "o_orderdate")
     rul = ch.join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("cita", F.date_format("o_orderdate", "yyyy-MM-dd").alias("fecha"), F.col("c_mktsegment").alias("tribunal_origen"), F.lit("empresa").alias("actor_tipo"), F.lit("estado").alias("demandado_tipo"))
+    return ch, rul
+
+
+@query("SELECT c.o_orderkey AS chunk_id FROM orders c JOIN customer f ON c.o_custkey = f.c_custkey WHERE c.o_orderkey % 3 = 0 AND strftime(c.o_orderdate, '%Y') BETWEEN '1995' AND '1996' AND c.o_orderstatus IS NOT NULL AND f.c_mktsegment = 'BUILDING'")
+def filter_chunks(spark, d):
+    ch, rul = order_chunks(spark, d)
     return search.filter_chunks(ch.where("chunk_id % 3 = 0").select("chunk_id"), ch, rul, None, search.Filters(1995, 1996, "BUILDING", "voto", party="estado"))
 
 
+@query("SELECT c.o_orderkey AS chunk_id FROM orders c JOIN customer f ON c.o_custkey = f.c_custkey WHERE strftime(c.o_orderdate, '%Y') BETWEEN '1995' AND '1996' AND f.c_mktsegment = 'BUILDING'")
+def filter_chunks_all(spark, d):
+    """Every order is a candidate."""
+    ch, rul = order_chunks(spark, d)
+    return search.filter_chunks(ch.select("chunk_id"), ch, rul, None, search.Filters(1995, 1996, "BUILDING", "voto", party="estado"))
+
+
 @query("WITH c AS (SELECT l_orderkey, CAST(l_suppkey % 50 + 1 AS INT) AS tomo, CAST(l_partkey % 2000 AS INT) AS pagina FROM lineitem), f AS (SELECT CAST(p_size AS INT) AS tomo, CAST(p_partkey % 2000 AS INT) AS desde, p_partkey FROM part) SELECT CAST(f.p_partkey AS VARCHAR) AS citado, count(*) AS n FROM c JOIN f ON c.tomo = f.tomo AND c.pagina BETWEEN f.desde AND f.desde + 5 WHERE c.l_orderkey <> f.p_partkey GROUP BY ALL")
 def incoming_range_join(spark, d):
     c = t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("cita"), (F.col("l_suppkey") % 50 + 1).cast("int").alias("tomo_citado"), (F.col("l_partkey") % 2000).cast("int").alias("pagina_citada"), F.lit("").alias("contexto"))

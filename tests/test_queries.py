@@ -45,6 +45,13 @@ def test_query_equals_sql(spark, duck, name):
     assert got
 
 
+def test_rare_terms_and_all_orders(spark, duck):
+    """The whole vocabulary is returned, and orders of every remainder reach the filter."""
+    terms = {r.term: r.tf for r in QUERIES["postings_all"](spark, SMALL).collect()}
+    assert min(terms.values()) == 1 and sum(terms.values()) == duck.sql(r"SELECT sum(len(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+'))) FROM documents").fetchall()[0][0]
+    assert {r.chunk_id % 3 for r in QUERIES["filter_chunks_all"](spark, SMALL).collect()} == {0, 1, 2}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
