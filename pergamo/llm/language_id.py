@@ -127,15 +127,19 @@ def held_out(id_col: str = "doc_id"):
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs, with all their columns, without those whose language is `und`; trained on the rows not held out."""
+    """docs, with all their columns, without those whose language is `und`; trained on the rows not held out.
+
+    Where nothing was learned, only null texts and those without a letter go."""
     model = fit(docs.where(~held_out(id_col)))
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    learned = bool(model.langs)
 
     def keep(batches):
         hold("language_id")
         for b in batches:
-            langs, _ = shared.value.predict(b.column(at).to_pylist())
-            yield b.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+            texts = b.column(at).to_pylist()
+            known = [x != UNKNOWN for x in shared.value.predict(texts)[0]] if learned else [bool(t and LETTER.search(t)) for t in texts]
+            yield b.filter(pa.array(known, pa.bool_()))
 
     return apply(docs, keep, docs.schema)
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from pergamo.llm.language_id import fit, held_out, identify, keep_known
 from pergamo.llm.mixing import mix, source_targets, take
@@ -27,6 +28,16 @@ def test_language_edges(spark, make, edge):
     assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} == {4, 5, 6, 8, None}
 
 
+def test_unlabelled_table_keeps_texts_with_a_letter(spark, edge):
+    """Nothing is learned: null labels everywhere, or labels on held-out rows only."""
+    none = edge.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.n_chars for r in keep_known(none).collect()) == [3, 4, 5, 6, 8, 9]
+    rows = spark.createDataFrame([(i, "clean text", "en") for i in range(40)] + [(99, "12 !", "en")], "doc_id long, text string, lang string")
+    few = rows.withColumn("lang", F.when(held_out(), F.col("lang")))
+    assert 0 < few.where("lang is not null").count() < 41
+    assert sorted(r.doc_id for r in keep_known(few).collect()) == list(range(40))
+
+
 def test_bounded_fit(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = fit(docs, fit_rows=100)
