@@ -107,6 +107,12 @@ def clean_text(spark, d):
     return x.select(T.clean_page(F.col("texto")).alias("limpio"), T.title_small_caps(F.col("palabra")).alias("versalita"))
 
 
+@query()
+def clean_documents(spark, d):
+    """Page cleaning over all documents; limpio is the whole cleaned text."""
+    return t(spark, d, "documents").select("doc_id", T.clean_page(F.col("text")).alias("limpio"))
+
+
 @query(r"SELECT doc_id, len(k) AS n, md5(array_to_string(k, ' ')) AS resumen FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS k FROM documents)")
 def fold_tokens(spark, d):
     x = t(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("k"))
@@ -339,6 +345,12 @@ def snippet(spark, d):
     return x.select("id", T.snippet(F.col("texto"), T.query_terms(F.lit("la responsabilidad del Estado"))).alias("extracto"))
 
 
+@query()
+def document_snippets(spark, d):
+    """Snippets of all documents, found in the whole text."""
+    return t(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), T.query_terms(F.lit(SEARCH))).alias("extracto"))
+
+
 @query(values([("responsabilidad,estado,daños", "El <mark>Estado</mark> y los estados", "311:2478")], "terminos", "marcado", "cita"))
 def query_tools(spark, d):
     x = spark.createDataFrame([("La responsabilidad del Estado y los daños del estado", "El Estado y los estados", " Fallos: 311:2478 ")], "q string, x string, c string")
