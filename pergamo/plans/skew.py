@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot from this share of all rows on, so there are at most 1 / HOT_SHARE hot keys: a proven broadcast bound.
-HOT_SHARE = 0.001
+#: Rows of one key that a task may hold; a smaller table counts a key as hot from a thousandth of its rows on.
+TASK_ROWS, LEAST_ROWS, HOT_SHARE = 1_000_000, 1000, 0.001
 #: Largest dimension table, in rows, that is broadcast; above it the join shuffles.
 BROADCAST_ROWS = 100_000
 
 
-def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column) -> DataFrame:
+def hot_rows(total: int) -> int:
+    """Rows of a key above which it is hot, among total rows. At most total / hot_rows(total) keys are: 1,000, or
+    one a million rows of a larger table."""
+    return min(TASK_ROWS, max(LEAST_ROWS, int(total * HOT_SHARE)))
+
+
+def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left join of rows with groups, one row a key, whose column `size` counts the rows of that key.
 
-    Hot keys (over HOT_SHARE of total, so at most 1 / HOT_SHARE of them) are broadcast. The others are
-    shuffled; rows that the broadcast served get a salt, from `spread`, that no group has, so they neither
-    match again nor meet in one task.
+    Two branches: rows of hot keys meet the broadcast groups of these and never shuffle; all others, whose keys
+    have hot_rows(total) rows at most, meet the other groups by a shuffle. Rows are read twice, so rows should be
+    a table or cheap to make. A null key gets nulls, without a shuffle too.
     """
-    limit = max(1000, int(total * HOT_SHARE))
     others = [c for c in groups.columns if c != key]
-    hot = groups.where(F.col(size) > limit).select(key, *[F.col(c).alias(f"_h_{c}") for c in others])
-    cold = groups.where(F.col(size) <= limit).select(key, F.lit(0).alias("_salt"), *[F.col(c).alias(f"_c_{c}") for c in others])
-    salt = F.when(F.col(f"_h_{size}").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(9973)).cast("int"))
-    out = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).join(cold, [key, "_salt"], "left")
-    return out.select(*rows.columns, *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in others])
-
-
-def attach_small(rows: DataFrame, table: DataFrame, on: Column, n: int, how: str = "left") -> DataFrame:
-    """Join with a table of n rows: broadcast up to BROADCAST_ROWS, else a shuffle that AQE may split."""
-    return rows.join(F.broadcast(table) if n <= BROADCAST_ROWS else table, on, how)
+    limit = hot_rows(total)
+    hot = F.broadcast(groups.where(F.col(size) > limit))
+    cold = groups.where(F.col(size) <= limit)
+    many = rows.join(hot, key).select(*rows.columns, *others)
+    few = rows.where(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti").join(cold, key, "left").select(*rows.columns, *others)
+    none = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in others])
+    return many.unionByName(few).unionByName(none)
