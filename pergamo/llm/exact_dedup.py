@@ -28,12 +28,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = settle(docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256).alias("sha")))
     n = rows.count()
     bits = bitmap.filter_bits(n)
-    twice = settle(bitmap.build(rows, "sha", bits, least=2))
-    rows = settle(bitmap.probe(rows, "sha", twice, bits, "maybe"))
+    twice = bitmap.build(rows, "sha", bits, least=2, seeds=bitmap.SEEDS[:1])
+    rows = settle(bitmap.probe(rows, "sha", twice, bits, "maybe", bitmap.SEEDS[:1]))
     alone = rows.where(~F.col("maybe")).select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     rest = rows.where("maybe").select("id", "sha")
     groups = settle(rest.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    many = attach_groups(rest, groups, "sha", "group_size", n, F.col("id")).select("id", "sha", "keep_id", "group_size")
+    many = attach_groups(rest, groups, "sha", "group_size", n).select("id", "sha", "keep_id", "group_size")
     return alone.unionByName(many).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 

@@ -210,7 +210,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = _roots(nodes, most)
     lows = settle(member.groupBy("root").agg(F.min("low").alias("component_id")))
     member = settle(member.join(lows, "root").select("fp", "n", "component_id"))
-    out = attach_groups(prints, member, "fp", "n", prints.count(), F.col("id"))
+    out = attach_groups(prints, member, "fp", "n", prints.count())
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

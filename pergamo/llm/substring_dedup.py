@@ -171,7 +171,7 @@ def later_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("sha"), F.xxhash64(text_col).alias("copy_hash")).where("id is not null and sha is not null")
     low = rows.groupBy("sha").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     rows, low = settle(rows), settle(low)
-    found = attach_groups(rows, low, "sha", "n", rows.count(), F.col("id")).where("id > low")
+    found = attach_groups(rows, low, "sha", "n", rows.count()).where("id > low")
     return found.select(F.col("id").alias("copy_id"), "copy_hash").distinct()
 
 

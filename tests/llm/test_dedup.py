@@ -141,12 +141,8 @@ def test_vectors(spark, cell, monkeypatch):
 def slow_lines(texts):
     """All pairs of distinct lines by the similarity of their shingles."""
 
-    def shingles(line):
-        w = re.sub("[\t\x0b\x0c\r]", " ", line.lower()).split(" ")
-        return frozenset((x, w[i + 1][: line_dedup.AHEAD] if i + 1 < len(w) else None) for i, x in enumerate(w) if x)
-
     order = list(dict.fromkeys(line for t in texts if t is not None for line in t.split("\n") if re.search("[^\x20\x09-\x0D]", line)))
-    sets = [shingles(x) for x in order]
+    sets = [slow_windows(x) for x in order]
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     root = dict(zip(order, joined(len(order), pairs)))
     seen, out = set(), []
@@ -207,7 +203,7 @@ def test_lines_by_character_windows(spark, make):
 def test_lines_of_a_crowded_bucket(spark, make, monkeypatch):
     """Hundreds of lines in one bucket, each like its neighbours only: one chain and one line apart, dealt to many blocks."""
     monkeypatch.setattr(line_dedup, "BLOCK", 16)
-    monkeypatch.setattr(line_dedup, "bands", lambda h: [F.lit(1).cast("long"), *[F.lit(None).cast("long")] * (line_dedup.BANDS - 1)])
+    monkeypatch.setattr(line_dedup, "band_keys", lambda sig: F.array(F.lit(1).cast("long")))
     rng = random.Random(6)
     chars = [chr(0x4E00 + i) for i in range(5000)]
     rng.shuffle(chars)
