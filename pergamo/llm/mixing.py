@@ -6,7 +6,7 @@ import random
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -100,15 +100,34 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     document. Blocks and chances come from hashes of the rows: reruns agree, whatever the partitioning.
 
     Null text has size 0; documents of size 0 get no fraction copies. Null is a source of its own, ranked last.
-    Repeated rows are mixed each. An empty table gives no rows.
+    Rows equal in id, text and source are rounded together and share the copies they get as evenly as can be.
+    Null ids and ids that unlike texts share are told apart by the text. Texts of any length are read whole. An
+    empty table gives no rows. Other columns are not read.
     """
+    out = _mixed(docs, weights, most, share, id_col, seed).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", _own_copies("nth").alias("copies"))
+
+
+def _draw(id_col: str, seed: int) -> Column:
+    """Names a row by its id, text and source, and is its chance."""
+    return F.xxhash64(F.lit(seed), F.col(id_col).isNull(), id_col, F.length("text"), "text", F.col("source").isNull(), "source")
+
+
+def _own_copies(nth: str) -> Column:
+    """Copies of the nth of m equal rows that get `copies` together."""
+    return F.floor(F.col("copies") / F.col("m")).cast("long") + (F.col(nth) <= F.pmod("copies", "m")).cast("long")
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], most: float, share: float, id_col: str, seed: int) -> DataFrame:
+    """draw, id, source, size, source_size, target, m (equal rows) and copies, of all equal rows together."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = settle(docs.select(F.col(id_col).alias("id"), "source", size.alias("size"), F.xxhash64(F.lit(seed), id_col, "text").alias("draw")))
-    goals = settle(source_targets(sizes.select("source", "size"), weights, most, share))
+    every = docs.select(F.col(id_col).alias("id"), "source", size.alias("size"), _draw(id_col, seed).alias("draw"))
+    sizes = settle(every.groupBy("draw", "id", "source", "size").agg(F.count(F.lit(1)).alias("m")))
+    goals = settle(source_targets(sizes.select("source", (F.col("size") * F.col("m")).alias("size")), weights, most, share))
     few = goals.count() <= BROADCAST_ROWS
     rows = sizes.alias("r").join(F.broadcast(goals.alias("g")) if few else goals.alias("g"), F.expr("r.source <=> g.source")).select("r.*", "source_size", "n_docs", "target")
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("want", want).withColumn("base", F.floor(F.col("want") + EPS).cast("long")).withColumn("p", F.greatest(F.lit(0.0), F.col("want") - F.col("base")))
+    rows = rows.withColumn("want", want * F.col("m")).withColumn("base", F.floor(F.col("want") + EPS).cast("long")).withColumn("p", F.greatest(F.lit(0.0), F.col("want") - F.col("base")))
     rows = rows.withColumn("p", F.when((F.col("size") == 0) | (F.col("p") < EPS), 0.0).otherwise(F.col("p")))
     done = rows.where("p = 0")
     open_ = rows.where("p > 0").withColumn("block", F.pmod("draw", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / FAN_IN)).cast("long")))
@@ -130,20 +149,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
-    return whole.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("copies"))
+    return whole.select("draw", "id", "source", "size", "source_size", "target", "m", (F.col("base") + F.col("p").cast("long")).alias("copies"))
 
 
 def take(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs as mixed: each row as many times as its copies, none for 0. Rows that repeat an id are told apart by
-    their order of text."""
-    copies = settle(mix(docs, id_col=id_col).select(F.col(id_col).alias("_mix_id"), F.col("copies").alias("_copies"), "size"))
-    on = F.col(id_col).eqNullSafe(F.col("_mix_id"))
-    names = docs.columns
-    if copies.count() != copies.select("_mix_id").distinct().count():
-        docs = docs.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64("text"))))
-        copies = copies.withColumn("_mix_nth", F.row_number().over(Window.partitionBy("_mix_id").orderBy("size", "_copies")))
-        on &= F.col("_nth") == F.col("_mix_nth")
-    return docs.join(copies.where("_copies > 0").drop("size"), on).select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).select(*names)
+    """docs as mixed: each row as many times as its copies, none for 0; all columns pass.
+
+    Rows meet their copies by a hash of id, text and source, so null ids and ids that unlike texts share take
+    their own. Of equal rows each takes its part. An empty table gives no rows.
+    """
+    names, seed = docs.columns, 1
+    copies = settle(_mixed(docs, WEIGHTS, MOST_COPIES, SHARE, id_col, seed).select(F.col("draw").alias("_draw"), "m", "copies").where("copies > 0"))
+    copies = copies.select("_draw", F.col("m").alias("_m"), F.col("copies").alias("_copies"))
+    met = docs.withColumn("_draw", _draw(id_col, seed)).join(copies, "_draw")
+    once = met.where("_m = 1").withColumn("_own", F.col("_copies"))
+    order = [F.xxhash64(F.to_json(F.struct(*names)))]
+    again = met.where("_m > 1").withColumn("_nth", F.row_number().over(Window.partitionBy("_draw").orderBy(*order)))
+    own = F.floor(F.col("_copies") / F.col("_m")).cast("long") + (F.col("_nth") <= F.pmod("_copies", "_m")).cast("long")
+    again = again.withColumn("_own", own).where("_own > 0").drop("_nth")
+    return once.unionByName(again).select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "_own")).alias("_copy")).select(*names)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
