@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -9,16 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pergamo.llm.common import apply, chunks, hold, map_batches, mix64, table
+from pergamo.session import settle
 
-#: Hash buckets, n-gram lengths, additive smoothing; labelled rows that training reads, in expectation; languages at most.
+#: Hash buckets, n-gram lengths, additive smoothing; labelled rows that training reads, in expectation; languages
+#: that are learned at most, the most frequent ones: the model has BUCKETS x MOST_LANGS numbers, 64 MB, whatever the data.
 BUCKETS, LENGTHS, SMOOTH, FIT_ROWS, MOST_LANGS = 1 << 16, (1, 2, 3), 0.1, 20_000, 256
 UNKNOWN = "und"
+#: Characters that are hashed at once: a longer text is scored in runs, which bounds the arrays beside it.
+RUN = 500_000
 LETTER = regex.compile(r"\p{L}")
 
 
-def hashed_ngrams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, start of each text's run): texts are lower-cased and framed by spaces."""
-    framed = [f" {t.lower()} " for t in texts]
+def runs(texts: list[str], n: int) -> Iterator[tuple[list[int], list[str]]]:
+    """(rows, parts): the texts, lower-cased and framed by spaces, in parts that have each n-gram once, RUN
+    characters or so at a time; row numbers repeat where a text is in several parts."""
+    rows, parts, size = [], [], 0
+    for i, t in enumerate(texts):
+        t = f" {t.lower()} "
+        for a in range(0, max(1, len(t) - n + 1), RUN):
+            part = t[a : a + RUN + n - 1]
+            if rows and size + len(part) > RUN:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+            rows.append(i)
+            parts.append(part)
+            size += len(part)
+    if rows:
+        yield rows, parts
+
+
+def hashed_ngrams(framed: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each n-gram, start of each text's run)."""
     codes = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     starts = np.cumsum([0, *map(len, framed)])
     h = codes.copy()
@@ -45,13 +68,14 @@ class Model:
         """Log posterior, up to a constant, of each text and language."""
         out = np.tile(self.prior, (len(texts), 1))
         for n in LENGTHS:
-            at, starts = hashed_ngrams(texts, n)
-            out += np.add.reduceat(self.table[at], starts, axis=0, dtype=np.float64)
+            for rows, parts in runs(texts, n):
+                at, starts = hashed_ngrams(parts, n)
+                np.add.at(out, rows, np.add.reduceat(self.table[at], starts, axis=0, dtype=np.float64))
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, score = [], []
-        for a, b in chunks(texts, 500_000):
+        for a, b in chunks(texts, RUN):
             real = [i for i in range(a, b) if texts[i] and LETTER.search(texts[i])]
             here = {i: (UNKNOWN, 0.0) for i in range(a, b)}
             if real and self.langs:
@@ -80,25 +104,26 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for a, e in chunks(texts, 500_000):
+            for a, e in chunks(texts, RUN):
                 for lang in {*langs[a:e]}:
                     own = [texts[i] for i in range(a, e) if langs[i] == lang]
                     acc = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
                     for k in LENGTHS:
-                        at = hashed_ngrams(own, k)[0]
-                        acc[:BUCKETS] += np.bincount(at, minlength=BUCKETS + 1)[:BUCKETS]
+                        for _, parts in runs(own, k):
+                            acc[:BUCKETS] += np.bincount(hashed_ngrams(parts, k)[0], minlength=BUCKETS + 1)[:BUCKETS]
                     acc[BUCKETS] += len(own)
         for lang, acc in sums.items():
             at = np.flatnonzero(acc)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(acc[at])], names=["lang", "bucket", "n"])
 
     got = apply(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    langs = sorted(r.lang for r in got.where(F.col("bucket") == BUCKETS).select("lang").limit(MOST_LANGS + 1).collect())
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    counts = np.zeros((BUCKETS + 1, len(langs)))
-    got = got.toPandas()
-    counts[got["bucket"], got["lang"].map({x: i for i, x in enumerate(langs)})] = got["n"]
+    got = settle(got)
+    known = got.where(F.col("bucket") == BUCKETS).orderBy(F.desc("n"), "lang").select("lang").limit(MOST_LANGS)
+    langs = sorted(r.lang for r in known.collect())
+    place, counts = {x: i for i, x in enumerate(langs)}, np.zeros((BUCKETS + 1, len(langs)))
+    by_lang = got.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).select("lang", "x.bucket", "x.n")
+    for lang, at, n in by_lang.where(F.col("lang").isin(langs)).toLocalIterator() if langs else ():  # a row of BUCKETS + 1 numbers at most
+        counts[at, place[lang]] = n
     return Model(langs, counts[:BUCKETS], counts[BUCKETS])
 
 
@@ -129,7 +154,8 @@ def held_out(id_col: str = "doc_id"):
 def keep_known(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs, with all their columns, without those whose language is `und`; trained on the rows not held out.
 
-    Where nothing was learned, only null texts and those without a letter go."""
+    Where nothing was learned, only null texts and those without a letter go. Null and repeated ids, repeated
+    rows and texts of any length pass or go by their text alone; an empty table gives no rows."""
     model = fit(docs.where(~held_out(id_col)))
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
     learned = bool(model.langs)
