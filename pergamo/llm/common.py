@@ -12,13 +12,14 @@ from pergamo.session import ship_code
 
 #: Bytes of text handled at once in one worker: bounds the arrays beside an Arrow batch.
 CHUNK = 4_000_000
-#: Rows that a mapping function sees at once.
+#: Rows of an Arrow batch, and so what a mapping function and the buffers on both sides of it hold at once.
 ROWS = 1000
 
 
 def apply(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow where the workers have this package."""
+    """mapInArrow where the workers have this package, in batches of ROWS rows."""
     ship_code(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     return df.mapInArrow(fn, schema)
 
 
