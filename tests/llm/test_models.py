@@ -1,8 +1,12 @@
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from pergamo.llm.language_id import fit, held_out, identify, keep_known
-from pergamo.llm.mixing import mix, source_targets, take
+from pergamo.llm import language_id
+from pergamo.llm.language_id import BUCKETS, LENGTHS, SMOOTH, fit, hashed_ngrams, held_out, identify, keep_known
+from pergamo.llm.mixing import WORD, mix, source_targets, take
 from pergamo.llm import url_filter as url_filter_module
 from pergamo.llm.url_filter import match_rules, mine_rules, needed_rules, url_filter
 
@@ -38,6 +42,43 @@ def test_unlabelled_table_keeps_texts_with_a_letter(spark, edge):
     assert sorted(r.doc_id for r in keep_known(few).collect()) == list(range(40))
 
 
+def slow_bayes(labelled, texts):
+    """Posterior by plain dictionaries of hashed n-grams."""
+    grams = lambda t: [int(g) for n in LENGTHS for g in hashed_ngrams([f" {t.lower()} "], n)[0] if g < BUCKETS]
+    counts, docs = {}, {}
+    for t, lang in labelled:
+        docs[lang] = docs.get(lang, 0) + 1
+        own = counts.setdefault(lang, {})
+        for g in grams(t):
+            own[g] = own.get(g, 0) + 1
+    out = []
+    for t in texts:
+        s = {}
+        for lang, own in counts.items():
+            total = sum(own.values()) + SMOOTH * BUCKETS
+            s[lang] = math.log(docs[lang] / sum(docs.values())) + sum(math.log((own.get(g, 0) + SMOOTH) / total) for g in grams(t))
+        best = max(sorted(s), key=lambda x: s[x])
+        out.append((best, 1 / sum(math.exp(v - s[best]) for v in s.values())))
+    return out
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    """Predictions and posteriors of plain naive Bayes, with long texts scored in many runs."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) between 10 and 1500").orderBy("doc_id").limit(90).collect()
+    labelled, rest = [(r.text, r.lang) for r in rows[:60] if r.lang], [r.text for r in rows[60:]] + ["a", "der hund", "x" * 900]
+    want = slow_bayes(labelled, rest)
+    monkeypatch.setattr(language_id, "RUN", 100)
+    model = fit(spark.createDataFrame(labelled, "text string, lang string"))
+    langs, score = model.predict(rest)
+    assert langs == [w[0] for w in want] and score == pytest.approx([w[1] for w in want], abs=1e-3)
+
+
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGS", 2)
+    df = spark.createDataFrame([("aa bb", "x"), ("aa cc", "x"), ("dd", "y"), ("dd", "y"), ("ee", "z")], "text string, lang string")
+    assert fit(df).langs == ["x", "y"]
+
+
 def test_bounded_fit(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = fit(docs, fit_rows=100)
@@ -81,11 +122,42 @@ def test_targets_and_mix(spark, make):
 
 def test_mix_edges(edge):
     rows = mix(edge).collect()
-    assert len(rows) == edge.count() and all(r.size or not r.copies or True for r in rows)
+    assert sorted((r.doc_id or 0, r.source or "", r.size) for r in rows) == sorted((r.doc_id or 0, r.source or "", len(re.findall(WORD, r.text or ""))) for r in edge.collect())
+    whole = {s: sum(r.size for r in rows if r.source == s) for s in {r.source for r in rows}}
+    for r in rows:  # a document of no words gets the whole part of what is wanted and no more
+        assert r.source_size == whole[r.source] and 0 <= r.copies <= 3 and (r.size or r.copies <= (r.target / r.source_size if r.source_size else 0))
     assert mix(edge.limit(0)).count() == 0 and take(edge.limit(0)).count() == 0
     assert take(edge).columns == edge.columns
 
 
+def test_take_of_repeated_ids_and_rows(spark):
+    """Copies go to their own text where texts share an id, and null ids and equal rows take their part."""
+    rows = [(i, " ".join(f"{s}{i}" for _ in range(1 + (i * 5 + k) % 23)), s, i) for i in range(40) for k, s in enumerate("ab")]
+    rows += [(None, f"null {i} " * (1 + i % 4), "b", i) for i in range(20)] + [(77, "the same row again", "a", 1)] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long")
+    mixed, got = mix(docs).collect(), take(docs).collect()
+    assert got and take(docs).columns == docs.columns
+    for s in "ab":
+        words = lambda found: sum(len(r.text.split()) for r in found if r.source == s)
+        assert words(got) == sum(r.copies * r.size for r in mixed if r.source == s)
+        assert abs(words(got) - next(r.target for r in mixed if r.source == s)) <= 23
+    assert len(got) == sum(r.copies for r in mixed)
+    want = sorted((r.doc_id or -1, r.source, r.size, r.copies) for r in mixed if r.copies)
+    number = {}
+    for r in got:
+        key = (r.doc_id or -1, r.source, r.text)
+        number[key] = number.get(key, 0) + 1
+    per_text = {}
+    for i, s, size, n in want:
+        per_text[i, s, size] = per_text.get((i, s, size), 0) + n
+    found = {}
+    for (i, s, t), n in number.items():
+        found[i, s, len(t.split())] = found.get((i, s, len(t.split())), 0) + n
+    assert found == per_text
+    equal = [r.copies for r in mixed if r.doc_id == 77]
+    assert len(equal) == 7 and max(equal) - min(equal) <= 1
+
+
 def test_source_targets_none_above(spark):
     df = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1)], "source string, size long")
     got = {r.source: r.target for r in source_targets(df).collect()}
