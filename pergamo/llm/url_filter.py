@@ -21,7 +21,6 @@ RULES = (
 )
 #: Share of the labelled pages a token combination needs, share of bad pages a rule needs, and the rules that are broadcast at most; more are shuffled.
 SUPPORT, CONFIDENCE, MOST_RULES = 0.005, 0.6, 10_000
-BAD, GOOD = "label=bad", "label=good"
 
 
 def host_of(url: Column) -> Column:
@@ -42,25 +41,53 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, site, parts))
 
 
+def token_classes(each: DataFrame, least: float) -> DataFrame:
+    """(item, tokens): tokens that bad pages have often enough; those that always occur together are one item.
+
+    each: page, bad, token. Tokens of the same pages have the same count and the same two sums of page hashes.
+    No more tokens pass than the tokens of a page, on average, over SUPPORT.
+    """
+    mark = lambda s: F.bit_xor(F.xxhash64(F.lit(s), "page"))
+    some = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), mark(0).alias("x"), mark(1).alias("y"), F.count(F.when(F.col("bad"), 1)).alias("bad"))
+    return some.where(F.col("bad") >= least).groupBy("n", "x", "y").agg(F.min("token").alias("item"), F.array_sort(F.collect_set("token")).alias("tokens")).select("item", "tokens")
+
+
 def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(rule_id, tokens, confidence, support): token combinations that tell bad pages, from rows (tokens, bad).
+    """(rule_id, tokens, confidence, support, items): token combinations that tell bad pages, from rows (tokens, bad).
 
-    FP-growth runs on all labelled rows; no label leaves no rules. All rules are kept.
+    Tokens that always occur together are one item first, so what pages share as a whole (a long path) counts once
+    and not as all its parts. FP-growth then mines the bad pages only; one count over all labelled pages gives the
+    confidence. A rule asks for all tokens of its items. All rules are kept. Null labels count as good; rows
+    without tokens tell nothing; repeated rows count each; no bad row leaves no rules.
     """
-    items = labelled.where(F.size("tokens") > 0).select(F.concat("tokens", F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items"))
-    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
-    kept = rules.where(F.element_at("consequent", 1) == BAD).where(~F.array_contains("antecedent", GOOD))
-    kept = kept.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    return settle(kept.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support"))
+    rows = settle(labelled.where(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("page"), "tokens", F.coalesce("bad", F.lit(False)).alias("bad")))
+    n, n_bad = rows.count(), rows.where("bad").count()
+    least = max(1.0, support * n)
+    spark = labelled.sparkSession
+    if n_bad < least:
+        return spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double, items array<string>")
+    each = rows.select("page", "bad", F.explode(F.array_distinct("tokens")).alias("token"))
+    classes = settle(token_classes(each, least))
+    items = each.join(F.broadcast(classes.select("item", F.col("item").alias("token"))), "token").select("page", "bad", "item")
+    pages = settle(items.groupBy("page", "bad").agg(F.collect_list("item").alias("items")))
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n_bad)).fit(pages.where("bad")).freqItemsets
+    sets = settle(sets.select(F.xxhash64(F.array_sort("items")).alias("set"), F.array_sort("items").alias("items"), F.col("freq").alias("bad")))
+    index = sets.select(F.explode("items").alias("item"), "set", F.size("items").alias("need"))
+    held = pages.select("page", F.explode("items").alias("item")).join(index, "item").groupBy("page", "set").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+    totals = held.where("n = need").groupBy("set").agg(F.count(F.lit(1)).alias("n"))
+    good = sets.join(totals, "set").withColumn("confidence", F.col("bad") / F.col("n")).where(F.col("confidence") >= confidence)
+    wide = good.select("set", F.explode("items").alias("item")).join(F.broadcast(classes), "item").groupBy("set").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens"))
+    return settle(good.join(wide, "set").select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", (F.col("bad") / n).alias("support"), "items"))
 
 
 def needed_rules(rules: DataFrame) -> DataFrame:
-    """rules without those that hold all tokens of another rule of at least their confidence: where such a rule
-    fires, the other one does too."""
-    subsets = F.aggregate("tokens", F.expr("array(cast(array() as array<string>))"), lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x)))))
-    own = rules.select(F.col("rule_id").alias("whole"), F.col("confidence").alias("most"), F.size("tokens").alias("n"), F.explode(subsets).alias("part"))
+    """rules without those that hold all items (or tokens, where there are none) of another rule of at least their
+    confidence: where such a rule fires, the other one does too. An empty table stays empty."""
+    by = "items" if "items" in rules.columns else "tokens"
+    subsets = F.aggregate(by, F.expr("array(cast(array() as array<string>))"), lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x)))))
+    own = rules.select(F.col("rule_id").alias("whole"), F.col("confidence").alias("most"), F.size(by).alias("n"), F.explode(subsets).alias("part"))
     own = own.where((F.size("part") > 0) & (F.size("part") < F.col("n"))).select("whole", "most", F.xxhash64("part").alias("part"))
-    implied = own.join(rules.select(F.col("rule_id").alias("part"), "confidence"), "part").where("confidence >= most")
+    implied = own.join(rules.select(F.xxhash64(by).alias("part"), "confidence"), "part").where("confidence >= most")
     return settle(rules.join(implied.select(F.col("whole").alias("rule_id")).distinct(), "rule_id", "left_anti").select(*rules.columns))
 
 
@@ -68,10 +95,11 @@ def match_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_key") ->
     """Keys of the pages that hold all tokens of some rule, with the best confidence, by an inverted index.
 
     The index has one row a token of a rule; it is broadcast up to MOST_RULES rules, else shuffled. A page meets only
-    the postings of its own tokens; a rule fires where it met as many of its tokens as it has.
+    the postings of its own tokens; a rule fires where it met as many of its tokens as it has. Pages without tokens
+    and empty tables give no rows; repeated keys count as one page.
     """
     index = rules.select(F.explode("tokens").alias("token"), "rule_id", F.size("tokens").alias("need"), "confidence")
-    met = pages.select(id_col, F.explode("tokens").alias("token")).join(F.broadcast(index) if rules.count() <= MOST_RULES else index.hint("merge"), "token")
+    met = pages.select(id_col, F.explode("tokens").alias("token")).distinct().join(F.broadcast(index) if rules.count() <= MOST_RULES else index.hint("merge"), "token")
     fired = met.groupBy(id_col, "rule_id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.first("confidence").alias("confidence")).where("n = need")
     return fired.groupBy(id_col).agg(F.max("confidence").alias("confidence"))
 

@@ -1,5 +1,8 @@
+import itertools
 import math
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,3 +230,36 @@ def test_inverted_index_matches_brute_force(spark):
     assert (frozenset("ab"), 1.0) in sets and not any(s == frozenset("a") for s, _ in sets)
     want = {r.page_key: max(c for s, c in sets if s <= set(r.tokens)) for r in tokens.collect() if any(s <= set(r.tokens) for s, _ in sets)}
     assert {r.page_key: r.confidence for r in match_rules(tokens, rules).collect()} == want
+
+
+def test_rules_against_brute_force(spark):
+    """All frequent token combinations of bad pages and their confidence, tokens that always go together as one."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(120):
+        t = {x for x in "abcdef" if rng.random() < 0.4}
+        t |= {"p", "q"} if "a" in t else set()
+        rows.append((sorted(t), ("b" in t and "c" in t) or rng.random() < 0.15))
+    rows = [r for r in rows if r[0]]  # support is a share of the pages that have tokens
+    got = {frozenset(r.tokens): (r.confidence, r.support) for r in mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.03, 0.6).collect()}
+    want = {}
+    for k in range(1, 7):
+        for s in itertools.combinations("abcdef", k):
+            full = frozenset(s) | (frozenset("pq") if "a" in s else frozenset())
+            n, bad = sum(full <= set(t) for t, _ in rows), sum(full <= set(t) and b for t, b in rows)
+            if bad >= 0.03 * len(rows) and bad >= 0.6 * n:
+                want[full] = (bad / n, bad / len(rows))
+    assert {k: v for k, v in got.items() if k not in want} == {} == {k: v for k, v in want.items() if k not in got}
+    assert want and [(s, got[s], want[s]) for s in got if got[s] != pytest.approx(want[s])] == []
+
+
+def test_a_long_path_that_pages_share(spark):
+    """200 labelled pages under a path of 30 segments: one item, mined in seconds, and its rule fires there only."""
+    deep = "/".join(f"dir{i}" for i in range(30))
+    pages = [(i, f"https://bad.example.net/{deep}/{i}") for i in range(200)] + [(1000 + i, f"https://good.example.net/x/{i}") for i in range(200)]
+    pages += [(2000, f"https://other.example.net/{deep}/new"), (2001, f"https://bad.example.net/{deep}/new")]
+    labels = [(i, 0, 0) for i in range(200)] + [(1000 + i, 1, 0) for i in range(200)]
+    start = time.time()
+    got = {r.page_id: r.verdict for r in url_filter(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert time.time() - start < 60
+    assert {v for i, v in got.items() if i < 200} == {"block"} == {got[2001]} and {v for i, v in got.items() if 1000 <= i < 2000} == {"allow"}
