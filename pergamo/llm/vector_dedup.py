@@ -16,32 +16,37 @@ from pergamo.session import settle
 
 COSINE = 0.95
 #: Trees, vectors a leaf should hold, levels at most, rows of the sample that places the splits.
-TREES, LEAF, MOST_LEVELS, SAMPLE = 3, 256, 20, 10_000
-#: Spill to either side of a split, in standard deviations that a linked pair differs by along a random direction.
-SPILL = 1.1
+TREES, LEAF, MOST_LEVELS, SAMPLE = 6, 512, 20, 10_000
+#: Spill to either side of a split, in standard deviations that a linked pair differs by along a random direction, in
+#: a tree of one level. It narrows with the root of the levels, so that a vector goes to about as many leaves in a
+#: table of any size: 16 of 50,000 vectors, 23 of 5 million. A tree parts a pair right at the threshold with a chance
+#: of 0.1 and 0.3 there; all TREES do with 1e-6 and 1e-3.
+SPILL = 1.6
 #: Vectors of a leaf above which it is split into cells, one for each pair of blocks.
 CELL = 4096
-ROOM = 1 << 20
+ROOM = 1 << 22
+#: Vectors of a block: so many by so many are compared at once.
+STEP = 1024
 
 
 class Forest:
-    """Random directions per level and thresholds per node of each tree.
+    """Random directions per level and thresholds per node of each tree, for vectors of any length.
 
-    Splits sit at the median of the sample rows that reach a node, or at zero where fewer than 16 do. A vector
-    within the spill of a threshold goes to both sides. The size is fixed by TREES and MOST_LEVELS.
+    Splits sit at the median of the sample rows that reach a node, or at zero where fewer than 16 do and for
+    vectors of another length than the sample's. A vector within the spill of a threshold goes to both sides.
+    The size is fixed by TREES, MOST_LEVELS and the longest vector.
     """
 
-    def __init__(self, sample: np.ndarray, n: int, dim: int, cosine: float, seed: int = 5) -> None:
-        rng = np.random.default_rng(seed)
+    def __init__(self, sample: np.ndarray, n: int, longest: int, cosine: float, seed: int = 5) -> None:
+        self.dim = sample.shape[1]
         self.levels = int(np.clip(np.ceil(np.log2(max(1, n) / LEAF)), 0, MOST_LEVELS))
-        self.spill = SPILL * np.sqrt(max(0.0, 2 - 2 * cosine) / dim)
-        self.directions = rng.standard_normal((TREES, self.levels, dim))
-        self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
+        self.spill = SPILL / np.sqrt(max(1, self.levels)) * np.sqrt(max(0.0, 2 - 2 * cosine))
+        self.directions = np.random.default_rng(seed).standard_normal((TREES, self.levels, longest))
         self.thresholds = [[np.zeros(1 << k) for k in range(self.levels)] for _ in range(TREES)]
         for t in range(TREES):
             node = np.zeros(len(sample), np.int64)
             for k in range(self.levels):
-                at = sample @ self.directions[t, k]
+                at = self._along(sample, t, k)
                 order = np.lexsort((at, node))
                 ids, first, count = np.unique(node[order], return_index=True, return_counts=True)
                 some = count >= 16
@@ -53,17 +58,23 @@ class Forest:
             ids, count = np.unique(leaf, return_counts=True)
             self.parts = {int(i): int(-(-c // CELL)) for i, c in zip(ids, count * (n / len(sample))) if c > CELL}
 
+    def _along(self, x: np.ndarray, t: int, k: int) -> np.ndarray:
+        """Along a direction; differences of unit vectors at a distance of d have the standard deviation d / sqrt(dim)."""
+        way = self.directions[t, k, : x.shape[1]]
+        return x @ (way / np.linalg.norm(way)) if len(x) else np.zeros(0)
+
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) for all leaves of all trees that the unit vectors reach, by row and leaf."""
-        rows, out = [], []
+        """(row, leaf) for all leaves of all trees that unit vectors of one length reach, by row and leaf."""
+        rows, out, spill = [], [], self.spill / np.sqrt(max(1, x.shape[1]))
+        own = x.shape[1] == self.dim
         for t in range(TREES):
             row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
             for k in range(self.levels):
-                off = (x @ self.directions[t, k])[row] - self.thresholds[t][k][node]
-                left, right = off <= self.spill, off >= -self.spill
+                off = self._along(x, t, k)[row] - (self.thresholds[t][k][node] if own else 0.0)
+                left, right = off <= spill, off >= -spill
                 row, node = np.concatenate([row[left], row[right]]), np.concatenate([node[left] * 2, node[right] * 2 + 1])
             rows.append(row)
-            out.append(node + t * ROOM * 2)
+            out.append(node + t * ROOM + (x.shape[1] << 26))
         row, leaf = np.concatenate(rows), np.concatenate(out)
         order = np.lexsort((leaf, row))
         return row[order], leaf[order]
@@ -75,8 +86,9 @@ def is_usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _unit(b: pa.Array, dim: int) -> np.ndarray:
-    x = b.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; the largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True, initial=0.0)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -84,7 +96,8 @@ def compare(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, block: np.ndarra
     """(links counted here, root) of each vector of a leaf or of one cell of it.
 
     A pair counts in the first leaf that both reach only, and in one cell of it, so counts add up without
-    listing pairs; roots join what links here at all.
+    listing pairs; roots join what links here at all. Blocks that hold links are compared again until no root
+    changes, so no more than STEP x STEP pairs are held at once.
     """
     n = len(ids)
     all_ = np.concatenate(earlier) if n else np.zeros(0, np.int64)
@@ -92,30 +105,38 @@ def compare(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, block: np.ndarra
     reach = np.zeros((n, len(names)), np.float32)
     reach[np.repeat(np.arange(n), [len(e) for e in earlier]), np.searchsorted(names, all_)] = 1
     links, root = np.zeros(n, np.int64), np.arange(n)
-    step = 1024
-    hits: list[tuple[np.ndarray, np.ndarray]] = []
-    for a in range(0, n, step):
-        for b in range(a, n, step):
-            near = x[a : a + step] @ x[b : b + step].T >= cosine
-            if a == b:
-                np.fill_diagonal(near, False)
-            i, j = np.nonzero(near)
-            if not len(i):
+
+    def near_in(a: int, b: int) -> np.ndarray:
+        near = x[a : a + STEP] @ x[b : b + STEP].T >= cosine
+        if a == b:
+            np.fill_diagonal(near, False)
+        return near
+
+    def join(a: int, b: int, near: np.ndarray) -> None:
+        for p, q, m in ((a, b, near), (b, a, near.T)):
+            low = np.where(m, root[q : q + STEP], n).min(1, initial=n)
+            root[p : p + STEP] = np.minimum(root[p : p + STEP], low)
+
+    linked: list[tuple[int, int]] = []
+    for a in range(0, n, STEP):
+        for b in range(a, n, STEP):
+            near = near_in(a, b)
+            if not near.any():
                 continue
-            i, j = i + a, j + b
-            hits.append((i, j))
-            mine = ((block[i] == cell[0]) & (block[j] == cell[1])) | ((block[i] == cell[1]) & (block[j] == cell[0]))
+            linked.append((a, b))
+            join(a, b, near)
+            here, there = block[a : a + STEP, None], block[None, b : b + STEP]
+            mine = near & (((here == cell[0]) & (there == cell[1])) | ((here == cell[1]) & (there == cell[0])))
             if reach.shape[1]:
-                seen = (reach[a : a + step] @ reach[b : b + step].T) > 0
-                mine &= ~seen[i - a, j - b]
-            np.add.at(links, i[mine], weight[j[mine]])
+                mine &= ~((reach[a : a + STEP] @ reach[b : b + STEP].T) > 0)
+            links[a : a + STEP] += mine @ weight[b : b + STEP]
             if a != b:
-                np.add.at(links, j[mine], weight[i[mine]])
-    while hits:  # smallest row number that links reach
+                links[b : b + STEP] += mine.T @ weight[a : a + STEP]
+    while linked:
         before = root.copy()
-        for i, j in hits:
-            np.minimum.at(root, i, root[j])
-            np.minimum.at(root, j, root[i])
+        root = root[root]
+        for a, b in linked:
+            join(a, b, near_in(a, b))
         root = root[root]
         if (root == before).all():
             break
@@ -131,9 +152,9 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     joined by distributed union-find. The forest is fitted on SAMPLE rows in expectation and indexes all rows.
     Leaves that the sample tells to be large are split into cells, one for each pair of blocks.
 
-    Null vectors and those that are empty, zero or hold null or non-finite components, or whose length is not
-    the most frequent one (the longer on a tie), link with nothing. Null ids are ignored as representatives.
-    Repeated rows count as copies. An empty table gives no rows. Other columns are not read.
+    Vectors of each length are compared among themselves. Null vectors and those that are empty, zero or hold
+    null or non-finite components link with nothing. Null ids are ignored as representatives. Repeated rows
+    count as copies. An empty table gives no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
     double = F.col("v")
@@ -142,14 +163,16 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     rows = settle(rows.withColumn("key", F.when(F.col("v").isNotNull(), F.concat_ws(":", F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(1), "v"))))))
     sizes = rows.where("v is not null").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = sizes["dim"] if sizes else 0
-    usable = rows.where((F.size("v") == dim) & F.col("key").isNotNull())
+    longest = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    usable = rows.where("key is not null")
     classes = settle(usable.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")).withColumn("cid", F.xxhash64("key")))
     total, many = rows.count(), classes.count()
     share = min(1.0, SAMPLE / max(1, many))
-    picked = classes.where(F.pmod(F.xxhash64(F.lit(3), "cid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v")
+    picked = classes.where(F.pmod(F.xxhash64(F.lit(3), "cid"), F.lit(1 << 30)) < int(share * (1 << 30))).where(F.size("v") == dim).select("v")
     sample = np.array([r["v"] for r in picked.collect()], float).reshape(-1, max(1, dim))
-    sample = sample / np.linalg.norm(sample, axis=1, keepdims=True) if len(sample) else sample
-    shared = spark.sparkContext.broadcast(Forest(sample, many, max(1, dim), cosine))
+    shared = spark.sparkContext.broadcast(Forest(_unit(sample), many, max(1, longest), cosine))
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    width = np.float32 if kind == "float" else np.float64  # what holds the components as they came
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
@@ -157,7 +180,13 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
             for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
                 if not b.num_rows:
                     continue
-                x = _unit(b.column(2), dim)
+                size = np.diff(b.column(2).offsets.to_numpy())
+                if (size != size[0]).any():
+                    for d in np.unique(size):  # one length at a time
+                        yield from place(iter([pa.RecordBatch.from_arrays([c.take(pa.array(np.flatnonzero(size == d))) for c in b.columns], names=b.schema.names)]))
+                    continue
+                raw = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                x = _unit(raw)
                 row, leaf = forest.leaves(x)
                 first = np.searchsorted(row, np.arange(len(x)))
                 own = mix64(b.column(0).to_numpy().view(np.uint64))
@@ -171,7 +200,7 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
                         block.append(mine)
                 at = np.array(at, np.int64)
                 before = pa.array([leaf[first[row[i]] : i].tobytes() for i in at.tolist()], pa.binary())
-                unit = pa.array([v.tobytes() for v in x], pa.binary()).take(pa.array(row[at]))
+                unit = pa.array([v.tobytes() for v in raw.astype(width)], pa.binary()).take(pa.array(row[at]))
                 parts = pa.array(np.array([forest.parts.get(f, 1) for f in leaf[at].tolist()], np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(leaf[at]), pa.array(np.array(cell, np.int64)), pa.array(np.array(block, np.int64)), parts, b.column(0).take(pa.array(row[at])), b.column(1).take(pa.array(row[at])), unit, before],
@@ -189,7 +218,7 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
                     continue
                 g = t.slice(a, b - a)
                 ids, s, c = g["cid"].to_numpy(), int(g["parts"][0].as_py()), int(g["cell"][0].as_py())
-                x = np.frombuffer(b"".join(g["v"].to_pylist()), float).reshape(b - a, dim)
+                x = _unit(np.frombuffer(b"".join(g["v"].to_pylist()), width).astype(float).reshape(b - a, -1))
                 links, root = compare(ids, g["n"].to_numpy(), x, g["block"].to_numpy(), (c // s, c % s), [np.frombuffer(e, np.int64) for e in g["before"].to_pylist()], cosine)
                 some = np.flatnonzero((links > 0) | (root != np.arange(b - a)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]]), pa.array(links[some])], names=["a", "b", "links"])

@@ -138,6 +138,32 @@ def test_vectors(spark, cell, monkeypatch):
     assert np.mean([got[i][1] == comp[i] for i in range(len(x))]) > 0.95 and all(got[i][2] == (got[i][1] == i) for i in got)
 
 
+def test_vectors_of_many_lengths_and_sizes(spark):
+    """Each length among its own; components whose squares overflow or vanish; null ids; columns with clashing names."""
+    rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [1.0, 2.0, 3.0]), (4, [1.0, 2.0, 3.0]), (5, [1.0, 2.0, 3.1]), (6, [1e200, 0.0, 0.0]), (7, [2e200, 0.0, 0.0]), (8, [0.0, 1e-300, 0.0]), (9, [0.0, 3e-300, 1e-302]), (None, [1.0, 2.0]), (10, [5.0])]
+    df = spark.createDataFrame([(i, v, "x", 1, True) for i, v in rows], "vec_id long, embedding array<double>, id string, links int, kept boolean")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.vector_dedup(df).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), None: (2, 1, False), 3: (2, 3, True), 4: (2, 3, False), 5: (2, 3, False), 6: (1, 6, True), 7: (1, 6, False), 8: (1, 8, True), 9: (1, 8, False), 10: (0, 10, True)}
+
+
+def test_a_vector_goes_to_about_as_many_leaves_at_every_size():
+    rng = np.random.default_rng(3)
+    x = vector_dedup._unit(rng.standard_normal((6000, 64)))
+    shipped = [len(vector_dedup.Forest(x[:4000], n, 64, 0.95).leaves(x[4000:])[0]) / 2000 for n in (50_000, 500_000, 5_000_000, 50_000_000)]
+    assert shipped[0] > 6 and max(shipped) <= 2 * shipped[0]
+
+
+def test_links_of_a_crowded_leaf():
+    """Counts and roots of vectors that are close all together, block by block."""
+    rng = np.random.default_rng(4)
+    x = vector_dedup._unit(np.vstack([rng.standard_normal(16) + rng.standard_normal((2500, 16)) * 0.02, rng.standard_normal((50, 16))]))
+    n = len(x)
+    links, root = vector_dedup.compare(np.arange(n), np.ones(n, np.int64), x, np.zeros(n, np.int64), (0, 0), [np.zeros(0, np.int64)] * n, 0.95)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert (links == near.sum(1)).all() and root.tolist() == joined(n, list(zip(*np.nonzero(near[:, :1]))) + [(i, i) for i in range(n)])[:2500] + root[2500:].tolist()
+
+
 def slow_lines(texts):
     """All pairs of distinct lines by the similarity of their shingles."""
 
