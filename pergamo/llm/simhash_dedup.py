@@ -10,17 +10,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pergamo.llm.common import apply, hold, map_batches, mix64, table
+from pergamo.llm.common import apply, hold, map_batches, table
 from pergamo.plans.components import components
-from pergamo.plans.skew import attach_groups
+from pergamo.plans.skew import BROADCAST_ROWS, attach_groups
 from pergamo.session import settle
 
 #: Words of a shingle, seed of its hash, differing bits that still link.
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
 #: The anchors: the direct sum of nine perfect [7, 4] codes, each covering its 7 bits with radius 1; the last bit is free.
 BLOCKS, WIDTH, DATA = 9, 7, 4
-#: Fingerprints of one home anchor above which the anchor is split into cells; share of all above which it may be split at all, so the split anchors are 10,000 at most.
-CELL, SPLIT_SHARE = 4096, 1e-4
+#: Fingerprints of one home anchor above which the anchor is split into cells.
+CELL = 4096
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -137,39 +137,31 @@ def linked(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.n
 def near_pairs(fps: DataFrame, most: int = THRESHOLD) -> DataFrame:
     """Star edges (a, b) that join all distinct fingerprints `fp` which chains of links of at most `most` bits join.
 
-    Only thresholds up to 2 are covered. Anchors that are home to many fingerprints are split into cells, one
-    for each pair of blocks of their fingerprints, so no task holds more than a bounded number of rows; every
-    pair still meets in some cell. An anchor gives one edge a fingerprint at most, never all its pairs.
+    Only thresholds up to 2 are covered. Anchors that are home to more than CELL fingerprints are split into cells,
+    one for each pair of blocks of their fingerprints, so no task holds more than a bounded number of rows; every
+    pair still meets in some cell. The list of split anchors is broadcast only up to BROADCAST_ROWS of them. An
+    anchor gives one edge a fingerprint at most, never all its pairs.
     """
     if most > THRESHOLD:
         raise ValueError("the anchors cover thresholds up to 2")
-    spark = fps.sparkSession
-    least = max(CELL, int(fps.count() * SPLIT_SHARE))
 
     def at_home(b: pa.RecordBatch) -> pa.RecordBatch:
         got = home_anchor(b.column(0).to_numpy().view(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(got.view(np.int64))], names=["anchor"])
 
-    crowded = map_batches(fps.select("fp"), at_home, "anchor long").groupBy("anchor").count().where(F.col("count") > least).collect()
-    split = spark.sparkContext.broadcast({r["anchor"]: -(-r["count"] // CELL) for r in crowded})
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(i, 20_000) for i in range(0, whole.num_rows, 20_000)):
-                fp = b.column(0).to_numpy().view(np.uint64)
-                rows, anchor = anchors(fp)
-                anchor, cell, fp = anchor.view(np.int64), np.zeros(len(rows), np.int64), fp[rows]
-                if split.value:
-                    parts = np.array([split.value.get(a, 1) for a in anchor.tolist()], np.int64)
-                    keep, more = parts == 1, []
-                    for i in np.flatnonzero(~keep):
-                        s = int(parts[i])
-                        own = int(mix64(fp[i : i + 1])[0] % np.uint64(s))
-                        more += [(anchor[i], min(own, c) * s + max(own, c), fp[i]) for c in range(s)]
-                    anchor = np.concatenate([anchor[keep], np.array([m[0] for m in more], np.int64)])
-                    cell = np.concatenate([cell[keep], np.array([m[1] for m in more], np.int64)])
-                    fp = np.concatenate([fp[keep], np.array([m[2] for m in more], np.uint64)])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(cell), pa.array(fp.view(np.int64))], names=["anchor", "cell", "fp"])
+    def place(b: pa.RecordBatch) -> pa.RecordBatch:
+        fp = b.column(0).to_numpy().view(np.uint64)
+        rows, anchor = anchors(fp)
+        return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(fp[rows].view(np.int64))], names=["anchor", "fp"])
+
+    homes = map_batches(fps.select("fp"), at_home, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
+    crowded = settle(homes.select("anchor", F.ceil(F.col("n") / CELL).cast("long").alias("parts")))
+    few = crowded.count() <= BROADCAST_ROWS
+    placed = map_batches(fps.select("fp"), place, "anchor long, fp long").join(F.broadcast(crowded) if few else crowded, "anchor", "left")
+    own, parts, other = F.pmod(F.xxhash64("fp"), F.col("parts")), F.col("parts"), F.col("other")
+    every = F.when(parts.isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))
+    cell = F.when(parts.isNull(), F.lit(0).cast("long")).otherwise(F.least(own, other) * parts + F.greatest(own, other))
+    placed = placed.withColumn("other", F.explode(every)).select("anchor", cell.alias("cell"), "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
@@ -193,7 +185,6 @@ def near_pairs(fps: DataFrame, most: int = THRESHOLD) -> DataFrame:
         if held is not None and len(held[0]):
             yield solve(*held)
 
-    placed = apply(fps.select("fp"), place, "anchor long, cell long, fp long")
     return apply(placed.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell"), compare, "a long, b long")
 
 
@@ -203,14 +194,16 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Equal fingerprints are one node before anything is compared, so copies cost nothing; nodes go to anchors,
     are compared there, and distributed union-find joins the links. Null and blank texts have fingerprint zero
     and link like any other. Null ids: component_id is the smallest other id of the component, null if none.
-    Repeated rows get the same component. An empty table gives no rows. Other columns are not read.
+    Repeated rows get the same component. Texts of any length are hashed whole. An empty table gives no rows.
+    Other columns are not read.
     """
     prints = settle(fingerprints(docs, id_col, text_col, shingle).drop("text_hash"))
     nodes = settle(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
     member = _roots(nodes, most)
-    lows = settle(member.groupBy("root").agg(F.min("low").alias("component_id")))
-    member = settle(member.join(lows, "root").select("fp", "n", "component_id"))
-    out = attach_groups(prints, member, "fp", "n", prints.count())
+    total = prints.count()
+    lows = settle(member.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size")))
+    member = settle(attach_groups(member, lows, "root", "size", total).select("fp", "n", "component_id"))
+    out = attach_groups(prints, member, "fp", "n", total)
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -222,7 +215,8 @@ def _roots(nodes: DataFrame, most: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that are not the first of their component: the smallest id, null ids last, then the
-    smallest fingerprint and text hash. Decided by row, not by id; rows equal in id and text stay once."""
+    smallest fingerprint and text hash. Decided by row, not by id; rows equal in id and text stay once. Null and
+    blank texts have fingerprint zero and so stay once together. All columns pass; an empty table gives no rows."""
     prints = settle(fingerprints(docs, id_col, text_col))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "text_hash")).alias("first")
     nodes = settle(prints.groupBy("fp").agg(first))

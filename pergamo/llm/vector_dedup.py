@@ -243,8 +243,8 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
         parts = components(found.where("a <> b"))
         member = classes.select("key", "cid", "low", "n").join(parts, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("component", "cid")).drop("node", "component")
         member = settle(member.join(links, "cid", "left"))
-        lows = member.groupBy("root").agg(F.min("low").alias("component_id"))
-        member = settle(member.join(lows, "root").select("key", "n", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+        lows = settle(member.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size")))
+        member = settle(attach_groups(member, lows, "root", "size", total).select("key", "n", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
         out = attach_groups(rows.select("id", "key").where("key is not null"), member, "key", "n", total).unionByName(rows.where("key is null").select("id", "key", F.lit(1).cast("long").alias("n"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
     else:
         out = rows.select("id", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))

@@ -79,7 +79,6 @@ def test_simhash(spark, make, near, monkeypatch):
 def test_anchors_lose_no_pair(spark, cell, monkeypatch):
     """Random pairs at each distance up to two bits, and one crowded ball, whole or split into cells."""
     monkeypatch.setattr(simhash_dedup, "CELL", cell)
-    monkeypatch.setattr(simhash_dedup, "SPLIT_SHARE", 0)
     rng = random.Random(1)
     centre = rng.getrandbits(64)
     fps = [rng.getrandbits(64) for _ in range(150)]
