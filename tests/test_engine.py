@@ -92,13 +92,28 @@ def test_index_of_pages(spark):
     assert sorted(r.pdf_page for r in P.index_pages(p).collect()) == [5, 6]
 
 
-def test_sections_cases():
-    assert S.split_sections("") == [] and S.split_sections(" solo \n") == [("mayoria", None, 0, "solo")]
-    text = "TÍTULO UNO\nTexto (Disidencia del juez Luis Paz)\nDictamen de la Procuración General\nopina\nFALLO DE LA CORTE SUPREMA\nresuelve\nVoto de los jueces Ana Sol y Eva Mar\nConsiderando:\nrazones\n"
-    got = S.split_sections(text)
-    assert [(k, a, o) for k, a, o, _ in got] == [("dictamen", None, 0), ("mayoria", None, 1), ("voto", "Ana Sol, Eva Mar", 2), ("disidencia", "Luis Paz", 3)]
-    inline = S.split_sections("uno\nvoto del juez X, considerando 3)\ndos")
-    assert inline == [("mayoria", None, 0, "uno\nvoto del juez X, considerando 3)\ndos")]
+def test_sections_cases(spark):
+    cases = {
+        "vacio": "", "blanco": " \n ", "solo": " solo \n",
+        "todo": "TÍTULO UNO\nTexto (Disidencia del juez Luis Paz)\nDictamen de la Procuración General\nopina\nFALLO DE LA CORTE SUPREMA\nresuelve\nVoto de los jueces Ana Sol y Eva Mar\nConsiderando:\nrazones\n",
+        "inline": "uno\nvoto del juez X, considerando 3)\ndos",
+        "dones": "FALLO DE LA CORTE SUPREMA\nhecho\nDisidencia del señor ministro doctor don Juan de la FUENTE-SOL y del señor\nministro doctor don Raúl Ríos\nVistos los autos\nno comparto",
+        "resumen": "PRIMERO DE TODOS\nuno (Voto de la jueza Mar)\nSEGUNDO TÍTULO\ndos (Voto del juez Paz)\nTERCER TÍTULO\ntres\nVoto del señor ministro don Luis Paz\nConsiderando:\na\nVoto de la jueza doña Eva Mar\nConsiderando:\nb",
+        "largo": "\n".join(["Voto de los jueces Luis Paz y Eva Mar", *[f"línea {i}" for i in range(12)]]),
+    }
+    df = spark.createDataFrame([*cases.items(), ("nulo", None)], "cita string, texto string")
+    got = {}
+    for r in S.sections(df).orderBy("cita", "orden").collect():
+        got.setdefault(r.cita, []).append((r.tipo, r.autor, r.orden, r.texto))
+    assert "vacio" not in got and "blanco" not in got and "nulo" not in got and got["solo"] == [("mayoria", None, 0, "solo")]
+    assert [x[:3] for x in got["todo"]] == [("dictamen", None, 0), ("mayoria", None, 1), ("voto", "Ana Sol, Eva Mar", 2), ("disidencia", "Luis Paz", 3)]
+    assert [x[3] for x in got["todo"]] == ["opina", "resuelve", "razones", "TÍTULO UNO\nTexto (Disidencia del juez Luis Paz)"]
+    assert got["inline"] == [("mayoria", None, 0, cases["inline"])]
+    assert got["dones"] == [("mayoria", None, 0, "hecho"), ("disidencia", "Juan de la Fuente-Sol, Raúl Ríos", 1, "no comparto")]
+    assert got["resumen"] == [
+        ("mayoria", None, 0, "TERCER TÍTULO\ntres"), ("voto", "Luis Paz", 1, "SEGUNDO TÍTULO\ndos (Voto del juez Paz)\na"), ("voto", "Eva Mar", 2, "PRIMERO DE TODOS\nuno (Voto de la jueza Mar)\nb")
+    ]
+    assert got["largo"] == [("voto", "Luis Paz, Eva Mar " + " ".join(f"Línea {i}" for i in range(7)), 1, "\n".join(f"línea {i}" for i in range(7, 12)))]
 
 
 def test_chunks_never_cross(spark):
