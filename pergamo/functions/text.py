@@ -5,6 +5,7 @@ Patterns name Unicode classes or carry (?U): Java's \\w and \\s are ASCII otherw
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -45,8 +46,6 @@ STOP_WORDS = tuple(
     ha han haber hay había habían hubo está están estaba estar
     """.split()
 )
-ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūñçýÿ"
-PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuuncyy"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&aacute;": "á", "&eacute;": "é", "&iacute;": "í", "&oacute;": "ó", "&uacute;": "ú", "&ntilde;": "ñ", "&uuml;": "ü", "&ordm;": "º", "&deg;": "°", "&amp;": "&"}  # & last
 
 
@@ -81,11 +80,32 @@ def lines(c: Column) -> Column:
     return F.split(c, r"\R", -1)
 
 
+def _folding() -> tuple[str, str]:
+    """(letters and marks, plain letters): every small letter that decomposes to a letter and combining marks, then
+    the marks themselves, which go. Made by that rule, so that composed and decomposed text fold alike."""
+    found, plain = [], []
+    for c in map(chr, range(0xC0, 0x2000)):
+        d = unicodedata.normalize("NFD", c)
+        if c == c.lower() and len(d) > 1 and unicodedata.category(d[0])[0] == "L" and all(unicodedata.category(x)[0] == "M" for x in d[1:]):
+            found.append(c)
+            plain.append(d[0])
+    return "".join(found) + "".join(map(chr, range(0x300, 0x370))), "".join(plain)
+
+
+ACCENTED, PLAIN = _folding()
+FOLDING = {ord(c): PLAIN[i] if i < len(PLAIN) else None for i, c in enumerate(ACCENTED)}
+
+
 def fold(c: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
+    """Lower case without accents and other combining marks."""
     return F.translate(F.lower(c), ACCENTED, PLAIN)
 
 
+def fold_text(text: str) -> str:
+    """fold() of a text on the driver, for queries."""
+    return text.lower().translate(FOLDING)
+
+
 def tokens(c: Column) -> Column:
     """Folded runs of letters and digits."""
     return F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
