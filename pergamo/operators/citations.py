@@ -16,6 +16,8 @@ MARGIN = 90
 ITEM = rf"(?iu){JOIN}(?:{PAIR}|\d{{1,4}})"
 LIST = rf"(?iu)\A({PAIR})((?:{JOIN}(?:{PAIR}|\d{{1,4}}))*)"
 EDGE = "struct<tomo:int,pagina:int>"
+#: Pages of a block of the range joins.
+BLOCK = 16
 
 
 def _pair(c: Column) -> tuple[Column, Column]:
@@ -92,13 +94,20 @@ def reference_count(text: Column) -> Column:
     return F.size(sites(text))
 
 
+def page_block(page: Column) -> Column:
+    return F.floor(page / BLOCK).cast("int")
+
+
 def incoming(citations: DataFrame, rulings: DataFrame) -> DataFrame:
     """Who cites whom: the cited page lies in the target's range of pages, within its volume; not itself.
 
-    The equality on the volume keeps the range join a hash or merge join.
+    Ranges are cut to blocks of BLOCK pages, so the join is an equality on volume and block, spread over all of
+    them, and the test within a block is left over. A range that ends before it begins holds nothing.
     """
     target = rulings.where("pagina_inicio is not null").select(F.col("cita").alias("citado"), F.col("tomo").alias("t"), "pagina_inicio", F.coalesce("pagina_fin", "pagina_inicio").alias("hasta"))
-    x = citations.join(target, (F.col("tomo_citado") == F.col("t")) & F.col("pagina_citada").between(F.col("pagina_inicio"), F.col("hasta")))
+    target = target.where("hasta >= pagina_inicio").withColumn("bloque", F.explode(F.sequence(page_block(F.col("pagina_inicio")), page_block(F.col("hasta")))))
+    named = citations.withColumn("_bloque", page_block(F.col("pagina_citada")))
+    x = named.join(target, (F.col("tomo_citado") == F.col("t")) & (F.col("_bloque") == F.col("bloque")) & F.col("pagina_citada").between(F.col("pagina_inicio"), F.col("hasta")))
     return x.where(F.col("cita") != F.col("citado")).select("citado", F.col("cita").alias("citante"), "tomo_citado", "pagina_citada", "contexto")
 
 

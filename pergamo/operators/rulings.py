@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from pergamo.functions import text as T
 from pergamo.functions.parties import party_type
+from pergamo.operators.citations import page_block
 from pergamo.operators.pages import body_pages
 
 # Caption test, dates, signatures, appeals.
@@ -103,11 +104,12 @@ def _shared_page(text: Column) -> Column:
 def ruling_pages(rulings: DataFrame, pages: DataFrame) -> DataFrame:
     """(cita, pagina_oficial, texto): clean pages of each ruling; the page where the next starts belongs to both.
 
-    A range join within the volume: the equality on tomo keeps it a hash or merge join.
+    A range join by blocks of pages: an equality on volume and block, with the test within a block left over.
     """
     r = rulings.select("cita", F.col("tomo").alias("r_tomo"), "pagina_inicio", "pagina_siguiente", F.coalesce("pagina_siguiente", "pagina_fin_cuerpo").alias("hasta"))
-    p = body_pages(pages)
-    x = r.join(p, (p.tomo == r.r_tomo) & p.pagina_oficial.between(r.pagina_inicio, r.hasta))
+    r = r.where("hasta >= pagina_inicio").withColumn("r_bloque", F.explode(F.sequence(page_block(F.col("pagina_inicio")), page_block(F.col("hasta")))))
+    p = body_pages(pages).withColumn("bloque", page_block(F.col("pagina_oficial")))
+    x = r.join(p, (p.tomo == r.r_tomo) & (p.bloque == r.r_bloque) & p.pagina_oficial.between(r.pagina_inicio, r.hasta))
     raw = F.when(F.col("pagina_oficial") == F.col("pagina_siguiente"), _shared_page(F.col("texto"))).otherwise(F.col("texto"))
     return x.select("cita", "pagina_oficial", T.clean_page(raw).alias("texto"))
 
