@@ -131,8 +131,32 @@ def register(w: Workspace, page_rows: DataFrame, entries: DataFrame | None = Non
     return found
 
 
+def _attempt(w: Workspace, stage: str, volumes: list[int]) -> list[int]:
+    """Runs a stage for all volumes together, and where that fails for each half of them alone, so that a bad volume
+    is marked with its own error and holds up no other. Returns those that passed; raises if none did."""
+    errors: list[Exception] = []
+
+    def part(some: list[int]) -> list[int]:
+        try:
+            HANDLERS[stage](w, some)
+            return some
+        except Exception as e:
+            if len(some) > 1:
+                half = len(some) // 2
+                return part(some[:half]) + part(some[half:])
+            w.mark(some, stage, "fallido", str(e)[:500])
+            errors.append(e)
+            return []
+
+    passed = part(volumes)
+    if errors and not passed:
+        raise errors[0]
+    return passed
+
+
 def run(w: Workspace, volumes: list[int] | None = None, force: bool = False) -> dict[int, str]:
-    """Brings volumes as far as they go and tells where each stands; a stage that failed ATTEMPTS times needs force."""
+    """Brings volumes as far as they go and tells where each stands; a stage that failed ATTEMPTS
+    times needs force. A volume that fails stays where it is; the others go on."""
     done = w.done()
     volumes = sorted(done) if volumes is None else volumes
     quality = {r["tomo"]: r["calidad"] for r in pages.page_quality(_of(w.read("paginas"), volumes)).collect()}
@@ -141,13 +165,9 @@ def run(w: Workspace, volumes: list[int] | None = None, force: bool = False) ->
         ready = [v for v in volumes if STAGES[k - 1] in done.get(v, ()) and stage not in done[v] and not (k >= 2 and quality.get(v) == PARKED) and (force or failed.get((v, stage), 0) < ATTEMPTS)]
         if not ready:
             continue
-        try:
-            HANDLERS[stage](w, ready)
-        except Exception as e:
-            w.mark(ready, stage, "fallido", str(e)[:500])
-            raise
-        w.mark(ready, stage, "hecho")
-        for v in ready:
+        passed = _attempt(w, stage, ready)
+        w.mark(passed, stage, "hecho")
+        for v in passed:
             done[v].add(stage)
     return {v: STATES[sum(s in done.get(v, ()) for s in STAGES)] for v in volumes}
 
