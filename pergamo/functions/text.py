@@ -238,3 +238,8 @@ def cite_query(query: Column) -> Column:
 def volume_of_file(name: Column) -> Column:
     """First run of two to four digits of a file name."""
     return F.nullif(F.regexp_extract(F.element_at(F.split(name, "/"), -1), r"(\d{2,4})", 1), F.lit("")).cast("int")
+
+
+def page_link(url: Column, pdf_page: Column) -> Column:
+    """A link to a page of a PDF; to the file where the page isn't known."""
+    return F.when(pdf_page.isNull(), url).otherwise(F.concat(url, F.lit("#page="), pdf_page.cast("string")))

@@ -213,6 +213,13 @@ def party_coverage(rulings: DataFrame) -> DataFrame:
     return rulings.select(F.explode(F.array("actor_tipo", "demandado_tipo")).alias("tipo")).groupBy("tipo").agg(F.count(F.lit(1)).alias("n"))
 
 
+def party_sides(rulings: DataFrame) -> DataFrame:
+    """(lado, tipo, n, total): rulings by side and type of party, with the side's total; null: no type."""
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("lado"), F.col(f"{s}_tipo").alias("tipo")) for s in ("actor", "demandado")])).alias("x")
+    per = rulings.select(sides).select("x.*").groupBy("lado", "tipo").agg(F.count(F.lit(1)).alias("n"))
+    return per.withColumn("total", F.sum("n").over(Window.partitionBy("lado")))
+
+
 def metadata_coverage(rulings: DataFrame) -> DataFrame:
     has = lambda c, a: F.count(F.when(c, 1)).alias(a)
     date, signed = F.col("fecha").isNotNull(), F.size("jueces") > 0

@@ -97,7 +97,8 @@ def body_pages(spark, d):
 
 @query(rf"SELECT source, CAST(sum(len({WORDS_SQL})) AS BIGINT) AS palabras FROM documents GROUP BY source")
 def word_counts(spark, d):
-    return t(spark, d, "documents").groupBy("source").agg(F.sum(F.size(T.words(F.col("text")))).alias("palabras"))
+    x = P.word_counts(t(spark, d, "documents").select(F.col("source").alias("tomo"), F.col("text").alias("texto")))
+    return x.select(F.col("tomo").alias("source"), F.col("palabras_crudas").alias("palabras"))
 
 
 @query(values([("Considerando: que ERNESTO dijo", "Raskovsky"), ("procedente", "María"), ("sin cambios", "Mcdonald")], "limpio", "versalita"))
@@ -311,7 +312,8 @@ def windowed_events(spark, d):
 @query("WITH a AS (SELECT o_custkey AS cita, o_orderpriority AS linea FROM orders), b AS (SELECT o_custkey AS cita, o_orderpriority AS linea FROM orders WHERE o_orderkey % 2 = 0) SELECT cita, linea, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY ALL")
 def line_difference(spark, d):
     a = t(spark, d, "orders").select(F.col("o_custkey").alias("cita"), F.col("o_orderpriority").alias("linea"), "o_orderkey")
-    return a.drop("o_orderkey").exceptAll(a.where("o_orderkey % 2 = 0").drop("o_orderkey")).groupBy("cita", "linea").agg(F.count(F.lit(1)).alias("n"))
+    text = lambda df: df.select("cita", F.col("linea").alias("texto"))
+    return C.orphan_lines(text(a), text(a.where("o_orderkey % 2 = 0"))).groupBy("cita", "linea").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH g AS (SELECT l_partkey AS numero, count(*) AS n FROM lineitem GROUP BY 1) SELECT count(*) AS numeros, min(numero) AS desde, max(numero) AS hasta, CAST(sum(n) AS BIGINT) AS filas, count(*) FILTER (WHERE n > 1) AS varios_volumenes FROM g")
@@ -507,3 +509,37 @@ def stage_machine(spark, d):
     """What follows each state of a scanned volume."""
     rows = [(s, stages.next_stage(s, stages.PARKED), stages.progress(s)) for s in stages.STATES]
     return spark.createDataFrame(rows, "estado string, sigue string, avance double")
+
+
+@query("SELECT lado, tipo, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY lado) AS BIGINT) AS total FROM (SELECT 'actor' AS lado, o_orderstatus AS tipo FROM orders UNION ALL SELECT 'demandado', CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END FROM orders) GROUP BY lado, tipo")
+def party_sides(spark, d):
+    return R.party_sides(t(spark, d, "orders").select(F.col("o_orderstatus").alias("actor_tipo"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")).alias("demandado_tipo")))
+
+
+@query("SELECT o_orderkey AS chunk_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F') AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def filter_by_abstracts(spark, d):
+    """Descriptor and branch together, each by its own semi join."""
+    ch, rul = order_chunks(spark, d)
+    marked = line_abstracts(spark, d).withColumn("voces", F.array(F.get("voces", F.lit(1)))).withColumn("cita", F.col("cita").cast("string"))
+    return search.filter_chunks(ch.select("chunk_id"), ch, rul, marked, search.Filters(descriptor="f", branch="R"))
+
+
+@query("SELECT count(*) AS n FROM documents")
+def indexed_count(spark, d):
+    return lexical.build(t(spark, d, "documents"), "doc_id", "text").lengths.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT label AS modelo, count(*) AS n FROM embeddings WHERE label <> 3 GROUP BY label")
+def drop_model(spark, d):
+    e = t(spark, d, "embeddings").withColumn("modelo", F.col("label").cast("string"))
+    return vectors.without_model(e, "3").groupBy(F.col("label").alias("modelo")).agg(F.count(F.lit(1)).alias("n"))
+
+
+FOLDED = [("Erdős", "erdos"), ("Dvořák", "dvorak"), ("cafe\u0301s", "cafes"), ("ÁÉÍ Ñandú", "aei nandu"), ("straße", "straße"), ("ΆΘΗΝΑ", "αθηνα")]
+
+
+@query(values([(a, b, b) for a, b in FOLDED], "texto", "plegado", "consulta"))
+def fold_alike(spark, d):
+    """Composed and decomposed letters, in texts and in queries."""
+    x = spark.createDataFrame([(a, " ".join(lexical.query_tokens(a))) for a, _ in FOLDED], "texto string, consulta string")
+    return x.select("texto", F.array_join(T.tokens(F.col("texto")), " ").alias("plegado"), "consulta")

@@ -214,3 +214,41 @@ def test_streams(spark, tmp_path):
         q = ingest.watch_pages(spark, str(tmp_path / "in"), w, str(tmp_path / "cp"))
         q.awaitTermination()
     assert w.read("paginas").count() == 4
+
+
+def test_settings(tmp_path):
+    from pergamo.config import DEFAULT_MODEL, settings
+
+    assert settings(str(tmp_path), {}) == settings(str(tmp_path), {"PERGAMO_OTHER": "x"}) and settings(str(tmp_path), {}).embedding_model == DEFAULT_MODEL
+    (tmp_path / ".env").write_text("# note\nPERGAMO_DATA_DIR = 'mine'\nPERGAMO_EMBEDDING_MODEL=small\n")
+    s = settings(str(tmp_path), {"PERGAMO_EMBEDDING_MODEL": "large"})
+    assert (s.data_dir, s.embedding_model, s.tables) == (str(tmp_path / "mine"), "large", str(tmp_path / "mine" / "tablas"))
+    assert settings(str(tmp_path), {"PERGAMO_DATA_DIR": "s3a://b/x/"}).uploads == "s3a://b/x/tomos"
+
+
+def test_fused_order_on_ties(spark):
+    """Equal scores: the lexical hit comes first, whatever the ids are."""
+    hits = spark.createDataFrame([(1, 0.5, None, 0), (9, 0.5, 0, None)], "chunk_id long, score double, rank_lexico int, rank_vectorial int")
+    ch = spark.createDataFrame([(1, "1:1", "voto", 1, "a"), (9, "1:9", "voto", 1, "b")], "chunk_id long, cita string, seccion_tipo string, pagina_oficial int, texto string")
+    assert [r.cita for r in search.group_by_ruling(hits, ch, 5).orderBy("orden").collect()] == ["1:9", "1:1"]
+
+
+def test_citations_are_read_where_none_are_stored(spark):
+    sec = spark.createDataFrame([("1:1", 0, "ver Fallos: 2:3"), ("1:2", 0, "ver Fallos: 4:5")], "cita string, orden int, texto string")
+    stored = Q.extract(sec.where("cita = '1:1'"))
+    assert sorted((r.cita, r.tomo_citado) for r in search.citations_or_read(stored, sec).collect()) == [("1:1", 2), ("1:2", 4)]
+
+
+def test_a_bad_volume_holds_up_no_other(spark, tmp_path, monkeypatch):
+    w = stages.Workspace(spark, str(tmp_path / "ws"), vectors.HashedProjection(8))
+    monkeypatch.setattr(w, "mark", lambda v, stage, state, error=None: marks.append((v, state)))
+    marks = []
+
+    def handler(w, volumes):
+        if 3 in volumes:
+            raise RuntimeError("lost")
+
+    monkeypatch.setitem(stages.HANDLERS, "limpiar", handler)
+    assert stages._attempt(w, "limpiar", [1, 2, 3, 4]) == [1, 2, 4] and marks == [([3], "fallido")]
+    with pytest.raises(RuntimeError):
+        stages._attempt(w, "limpiar", [3])
