@@ -21,6 +21,8 @@ RULES = (
 )
 #: Share of the labelled pages a token combination needs, share of bad pages a rule needs, and the rules that are broadcast at most; more are shuffled.
 SUPPORT, CONFIDENCE, MOST_RULES = 0.005, 0.6, 10_000
+#: Share of the good pages among all labelled ones that a rule's pages stay below: what all pages share tells nothing, however many are bad.
+FEWER_GOOD = 0.99
 
 
 def host_of(url: Column) -> Column:
@@ -57,7 +59,8 @@ def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
 
     Tokens that always occur together are one item first, so what pages share as a whole (a long path) counts once
     and not as all its parts. FP-growth then mines the bad pages only; one count over all labelled pages gives the
-    confidence. A rule asks for all tokens of its items. All rules are kept. Null labels count as good; rows
+    confidence. A rule asks for all tokens of its items. All rules of enough confidence are kept, unless good pages
+    are as usual under it as anywhere (FEWER_GOOD). Null labels count as good; rows
     without tokens tell nothing; repeated rows count each; no bad row leaves no rules.
     """
     rows = settle(labelled.where(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("page"), "tokens", F.coalesce("bad", F.lit(False)).alias("bad")))
@@ -75,7 +78,7 @@ def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     index = sets.select(F.explode("items").alias("item"), "set", F.size("items").alias("need"))
     held = pages.select("page", F.explode("items").alias("item")).join(index, "item").groupBy("page", "set").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
     totals = held.where("n = need").groupBy("set").agg(F.count(F.lit(1)).alias("n"))
-    good = sets.join(totals, "set").withColumn("confidence", F.col("bad") / F.col("n")).where(F.col("confidence") >= confidence)
+    good = sets.join(totals, "set").withColumn("confidence", F.col("bad") / F.col("n")).where((F.col("confidence") >= confidence) & (1 - F.col("confidence") < FEWER_GOOD * (1 - n_bad / n)))
     wide = good.select("set", F.explode("items").alias("item")).join(F.broadcast(classes), "item").groupBy("set").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens"))
     return settle(good.join(wide, "set").select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", (F.col("bad") / n).alias("support"), "items"))
 

@@ -216,6 +216,16 @@ def test_no_bad_site_is_pushed_out(spark, monkeypatch, most):
     assert got == {r[0]: "allow" if "good" in r[1] else "block" for r in rows}
 
 
+@pytest.mark.parametrize("good", [0, 1, 30])
+def test_what_all_pages_share_is_no_rule(spark, good):
+    """However many labelled pages are bad, a label that all have blocks nothing; with a good page, what only bad ones have does."""
+    rows = [(i, "http://www.x.com/ad", 0) for i in range(100)] + [(200 + i, "http://www.x.com/ok", 1) for i in range(good)]
+    pages = spark.createDataFrame([r[:2] for r in rows] + [(900, "http://www.x.com/else"), (901, "http://other.org/ad"), (902, ""), (903, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], r[2], None) for r in rows] + [(0, 0, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_filter(pages, labels, ()).collect()}
+    assert got == {r[0]: "block" if good and not r[2] else "allow" for r in rows} | {900: "allow", 901: "block" if good else "allow", 902: "allow", 903: "allow"}
+
+
 def test_needed_rules(spark):
     rows = [(0, ["a"], 0.8, 0.1), (2, ["a", "b"], 0.8, 0.1), (3, ["a", "c"], 0.9, 0.1), (4, ["b", "c"], 0.7, 0.1), (5, ["a", "b", "c"], 0.9, 0.1), (6, ["d", "e"], 0.6, 0.1)]
     rules = spark.createDataFrame(rows, "n long, tokens array<string>, confidence double, support double").selectExpr("xxhash64(tokens) as rule_id", "tokens", "confidence", "support")
