@@ -18,11 +18,12 @@ from pergamo.functions.parties import party_type
 from pergamo.operators import abstracts as A
 from pergamo.operators import chunks as C
 from pergamo.operators import citations as Q
-from pergamo.operators import lexical, metrics, search, vectors
+from pergamo.operators import lexical, lexical_store, metrics, search, vector_store, vectors
 from pergamo.operators import pages as P
 from pergamo.operators import rulings as R
 from pergamo.operators import sections as S
 from pergamo.plans import stages
+from pergamo.session import settle, shared_folder
 from pergamo.streaming.ingest import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +74,19 @@ def word_windows(spark, d):
     return C.chunk_documents(t(spark, d, "documents")).select("doc_id", "orden", "n_palabras", F.md5(F.col("texto").cast("binary")).alias("resumen"))
 
 
+PAGE = 1800  # characters of the pages that documents are cut into
+
+
+@query(rf"WITH {CHUNKS_SQL}, page AS (SELECT doc_id, i + 1 AS pagina, trim(regexp_replace(substr(text, i * {PAGE} + 1, {PAGE}), '\s+', ' ', 'g')) AS texto FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / {PAGE}.0) AS INT))) AS i FROM documents)), c AS (SELECT doc_id, orden, array_to_string(p, ' ') AS texto FROM chunk), m AS (SELECT c.doc_id, orden, min(pagina) FILTER (WHERE contains(page.texto, substr(c.texto, 1, 80))) AS p80, min(pagina) FILTER (WHERE contains(page.texto, substr(c.texto, 1, 40))) AS p40 FROM c JOIN page ON c.doc_id = page.doc_id WHERE c.texto <> '' GROUP BY ALL) SELECT doc_id, orden, CAST(coalesce(p80, p40) AS INT) AS pagina FROM m WHERE p40 IS NOT NULL")
+def chunk_pages(spark, d):
+    """On which page of its document, cut into pages of PAGE characters, each chunk begins; all documents."""
+    docs = t(spark, d, "documents")
+    cut = docs.select(F.col("doc_id").alias("cita"), F.explode(F.sequence(F.lit(1), F.ceil(F.length("text") / PAGE).cast("int"))).alias("pagina_oficial"), "text").where("length(text) > 0")
+    pages = cut.select("cita", "pagina_oficial", T.collapse(F.substring("text", (F.col("pagina_oficial") - 1) * PAGE + 1, F.lit(PAGE))).alias("texto"))
+    chunks = settle(C.chunk_documents(docs).select(F.col("doc_id").alias("cita"), "orden", "texto"))
+    return C.locate_chunks(chunks, pages, ["cita", "orden"]).select(F.col("cita").alias("doc_id"), "orden", F.col("pagina_oficial").alias("pagina"))
+
+
 @query(f"WITH {CHUNKS_SQL} SELECT (SELECT count(DISTINCT doc_id) FROM chunk) AS documentos, (SELECT count(*) FROM chunk) AS fragmentos, round((SELECT count(*) FROM chunk) * 1.0 / (SELECT count(DISTINCT doc_id) FROM chunk), 6) AS media, (SELECT median(len(p)) FROM chunk) AS mediana_palabras")
 def chunk_summary(spark, d):
     return C.chunk_summary(C.chunk_documents(t(spark, d, "documents"))).select("documentos", "fragmentos", F.round("media", 6).alias("media"), "mediana_palabras")
@@ -141,9 +155,69 @@ def bm25_topk(spark, d):
     return lexical.search_scan(numbered_chunks(spark, d), SEARCH).select("chunk_id", F.round("rank", 6).alias("rank"))
 
 
+_stored: dict[tuple[str, str, str], lexical_store.StoredIndex | vector_store.VectorStore] = {}
+
+
+def stored(spark, d, what: str, anew: bool = False):
+    """The stored index of chunks or documents, or the stored vectors, of d: built once an application."""
+    key = (spark.sparkContext.applicationId, d, what)
+    if anew or key not in _stored:
+        path = f"{shared_folder(spark)}/stored-{what}-{len(_stored)}"
+        if what == "vectors":
+            _stored[key] = vector_store.build_store(t(spark, d, "embeddings"), path, "vec_id", "embedding")
+        elif what == "chunks":
+            _stored[key] = lexical_store.build_index(settle(numbered_chunks(spark, d).select("chunk_id", "texto")), path)
+        else:
+            _stored[key] = lexical_store.build_index(t(spark, d, "documents"), path, "doc_id", "text")
+    return _stored[key]
+
+
+@query(f"{CHUNK_SRC}, tok AS (SELECT id, unnest({TOKENS_SQL}) AS term FROM src), p AS (SELECT term, id, count(*) AS tf FROM tok GROUP BY ALL) SELECT (SELECT count(*) FROM src) AS fragmentos, count(*) AS apariciones, count(DISTINCT term) AS terminos, CAST(sum(tf) AS BIGINT) AS palabras, round(sum(tf) / (SELECT count(*) FROM src), 6) AS media FROM p")
+def lexical_index_build(spark, d):
+    """Builds the stored index of all chunks anew; what its blocks and its manifest hold."""
+    index = stored(spark, d, "chunks", anew=True)
+    held = index.blocks.select("term", "n", F.aggregate("postings", F.lit(0).cast("long"), lambda s, p: s + p["tf"]).alias("tf"))
+    totals = held.groupBy("term").agg(F.sum("n").alias("n"), F.sum("tf").alias("tf")).agg(F.sum("n").alias("apariciones"), F.count(F.lit(1)).alias("terminos"), F.sum("tf").alias("palabras"))
+    return totals.select(F.lit(index.n).cast("long").alias("fragmentos"), "apariciones", "terminos", "palabras", F.round(F.lit(index.avgdl), 6).alias("media"))
+
+
 @query(bm25_sql(CHUNK_SRC, 10) + " SELECT id AS chunk_id, round(rank, 6) AS rank FROM hit")
 def bm25_index(spark, d):
-    return lexical.search_index(lexical.build(numbered_chunks(spark, d)), SEARCH).select("chunk_id", F.round("rank", 6).alias("rank"))
+    """The same ranking from the stored index, which the first call in an application builds."""
+    return lexical_store.search_stored(stored(spark, d, "chunks"), SEARCH).select("chunk_id", F.round("rank", 6).alias("rank"))
+
+
+CASES_SQL = rf"""WITH tok AS (SELECT doc_id, coalesce(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+'), []) AS k FROM documents),
+ cases AS (SELECT doc_id AS consulta, list_transform(list_sort(list_transform(list_distinct(k), lambda x: struct_pack(l := -len(x), w := x)))[1:3], lambda s: s.w) AS terms FROM tok WHERE doc_id % 20 = 0),
+ q AS (SELECT consulta, unnest(terms) AS term, len(terms) AS need FROM cases), post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(k) AS term FROM tok) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+ st AS (SELECT count(*) AS n, avg(len(k)) AS avgdl FROM tok), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+ hit AS (SELECT consulta, post.doc_id AS id, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(k) / avgdl)) ORDER BY q.term) AS rank FROM q JOIN post USING (term) JOIN df USING (term) JOIN tok ON tok.doc_id = post.doc_id, st GROUP BY ALL HAVING count(*) = any_value(need)),
+ l AS (SELECT consulta, id, rank, row_number() OVER (PARTITION BY consulta ORDER BY rank, id) - 1 AS r FROM hit QUALIFY r < {CANDIDATES})"""
+
+
+def search_cases(spark, d) -> DataFrame:
+    """(consulta, texto, vector) of every twentieth document: its three longest words, the first in order among equally long ones, and the sum of its vector and
+    the next one's, where there are both."""
+    words = F.slice(F.array_sort(F.transform(F.array_distinct(T.tokens(F.col("text"))), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1, 3)
+    e = t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f")), "vec_id").select(F.col("vec_id").alias("consulta"), F.zip_with("e", "f", lambda x, y: x + y).alias("vector"))
+    return t(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("consulta"), F.array_join(F.transform(words, lambda x: x["w"]), " ").alias("texto")).join(both, "consulta", "left")
+
+
+@query(f"{CASES_SQL} SELECT consulta, id AS chunk_id, round(rank, 6) AS rank, CAST(r + 1 AS INT) AS puesto FROM l WHERE r < 5")
+def bm25_many(spark, d):
+    """Five best documents for every case, all in one plan over the stored index."""
+    return lexical_store.search_many(stored(spark, d, "documents"), search_cases(spark, d), CANDIDATES).where("puesto <= 5").withColumn("rank", F.round("rank", 6))
+
+
+@query(f"{CASES_SQL}, qv AS (SELECT a.vec_id AS consulta, list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE + p[2]::DOUBLE) AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN cases ON cases.consulta = a.vec_id), v AS (SELECT consulta, vec_id AS id, row_number() OVER (PARTITION BY consulta ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], v), vec_id) - 1 AS r FROM embeddings, qv QUALIFY r < {CANDIDATES}), f AS (SELECT consulta, id, row_number() OVER (PARTITION BY consulta ORDER BY coalesce(1.0 / (61 + l.r), 0) + coalesce(1.0 / (61 + v.r), 0) DESC, l.r NULLS LAST, v.r NULLS LAST) AS puesto FROM l FULL JOIN v USING (consulta, id)) SELECT count(*) AS casos, round(avg(CASE WHEN puesto <= 10 THEN 1 ELSE 0 END), 6) AS recall, round(avg(CASE WHEN puesto <= 10 THEN 1.0 / puesto ELSE 0 END), 6) AS mrr FROM cases LEFT JOIN f ON f.consulta = cases.consulta AND f.id = cases.consulta")
+def retrieval_hybrid(spark, d):
+    """recall at 10 and mean reciprocal rank of the hybrid search, which is to find each case's own document among all."""
+    cases = search_cases(spark, d)
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    found = search.hybrid_many(stored(spark, d, "documents"), e, cases, 10, CANDIDATES)
+    results = found.select("consulta", F.col("chunk_id").alias("cita"), "puesto")
+    return metrics.retrieval(results, cases.select("consulta", F.col("consulta").alias("esperada"))).select("casos", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 
 
 @query(r"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY term HAVING count(*) >= 20")
@@ -172,6 +246,13 @@ def cosine_topk(spark, d):
     return nearest(spark, d, 11).where("chunk_id > 0").select("chunk_id", F.round("distancia", 6).alias("distancia"))
 
 
+@query(f"SELECT id AS chunk_id, round(distancia, 6) AS distancia FROM ({COSINE_HITS} 11) WHERE id > 0")
+def cosine_topk_pivots(spark, d):
+    """The same from the stored vectors: only partitions that may hold a nearer one are read."""
+    q = t(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+    return vector_store.search_store(stored(spark, d, "vectors"), q, 11).where("chunk_id > 0").select("chunk_id", F.round("distancia", 6).alias("distancia"))
+
+
 DOC_SRC = "WITH src AS (SELECT doc_id AS id, text AS texto FROM documents)"
 RANKS = "ROW_NUMBER() OVER (ORDER BY {0}, id) - 1"
 FUSED = "f AS (SELECT id, coalesce(1.0 / (61 + l.r), 0) + coalesce(1.0 / (61 + v.r), 0) AS score, l.r AS rank_lexico, v.r AS rank_vectorial FROM l FULL JOIN v USING (id))"
@@ -179,7 +260,7 @@ FUSED = "f AS (SELECT id, coalesce(1.0 / (61 + l.r), 0) + coalesce(1.0 / (61 + v
 
 @query(f"{bm25_sql(DOC_SRC, CANDIDATES)}, vec AS ({COSINE_HITS} {CANDIDATES}), l AS (SELECT id, {RANKS.format('rank')} AS r FROM hit), v AS (SELECT id, {RANKS.format('distancia')} AS r FROM vec), {FUSED} SELECT id AS chunk_id, round(score, 9) AS score, CAST(rank_lexico AS INT) AS rank_lexico, CAST(rank_vectorial AS INT) AS rank_vectorial FROM f")
 def rrf_fusion(spark, d):
-    lex = search.ranked(lexical.search_scan(t(spark, d, "documents"), SEARCH, CANDIDATES, "doc_id", "text"), "rank")
+    lex = search.ranked(lexical_store.search_stored(stored(spark, d, "documents"), SEARCH, CANDIDATES), "rank")
     vec = search.ranked(nearest(spark, d, CANDIDATES), "distancia")
     return search.rrf({"lexico": lex, "vectorial": vec}).withColumn("score", F.round("score", 9))
 
@@ -190,14 +271,14 @@ def hybrid_filtered(spark, d):
     rulings = docs.select("cita", F.lit("2020-01-01").alias("fecha"), "tribunal_origen", F.lit("estado").alias("actor_tipo"), F.lit(None).cast("string").alias("demandado_tipo"))
     e = t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     q = e.where("chunk_id = 0").select("vector").first()[0]
-    out = search.hybrid(docs, rulings, None, e, SEARCH, q, 10, CANDIDATES, search.Filters(court="en", party="estado", year_from=2000))
+    out = search.hybrid(docs, rulings, None, e, SEARCH, q, 10, CANDIDATES, search.Filters(court="en", party="estado", year_from=2000), stored(spark, d, "documents"))
     return out.withColumn("score", F.round("score", 9))
 
 
 @query(f"{bm25_sql(CHUNK_SRC, CANDIDATES)}, x AS (SELECT id // 1000 AS doc_id, id, -rank AS score, ROW_NUMBER() OVER (ORDER BY rank, id) AS pos FROM hit) SELECT doc_id, count(*) AS total_pasajes, round(max(score), 6) AS score, arg_min(id, pos) AS mejor FROM x GROUP BY doc_id ORDER BY min(pos) LIMIT 5")
 def group_by_doc(spark, d):
     ch = numbered_chunks(spark, d).select("chunk_id", "doc_id", F.lit("mayoria").alias("seccion_tipo"), F.lit(1).alias("pagina_oficial"), "texto")
-    hits = lexical.search_scan(ch, SEARCH, CANDIDATES).select("chunk_id", (-F.col("rank")).alias("score"))
+    hits = lexical_store.search_stored(stored(spark, d, "chunks"), SEARCH, CANDIDATES).select("chunk_id", (-F.col("rank")).alias("score"))
     out = search.group_by_ruling(hits, ch, 5, "doc_id")
     return out.select("doc_id", "total_pasajes", F.round("score", 6).alias("score"), F.get("pasajes", F.lit(0))["chunk_id"].alias("mejor"))
 
