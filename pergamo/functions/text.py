@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,7 +47,9 @@ STOP_WORDS = tuple(
     ha han haber hay había habían hubo está están estaba estar
     """.split()
 )
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&aacute;": "á", "&eacute;": "é", "&iacute;": "í", "&oacute;": "ó", "&uacute;": "ú", "&ntilde;": "ñ", "&uuml;": "ü", "&ordm;": "º", "&deg;": "°", "&amp;": "&"}  # & last
+#: A reference to a character, and names that stand without a semicolon too, which are read by their longest beginning.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+LEGACY_LENGTHS = range(2, 7)
 
 
 def lit_array(values) -> Column:
@@ -169,11 +172,39 @@ def query_terms(query: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 2) & ~F.array_contains(lit_array(STOP_WORDS), t)))
 
 
+def _map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+
+
+def _code_point(n: Column) -> Column:
+    """The character of a number, as browsers read it: controls of Latin-1 are those of Windows, what is no character is nothing or U+FFFD."""
+    windows = {str(i): bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)}
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    none = n.between(0x01, 0x08) | n.between(0x0E, 0x1F) | n.isin(0x0B, 0x7F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    odd = n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    return F.when(odd, "\ufffd").when(n.between(0x80, 0x9F), F.try_element_at(_map(windows), n.cast("string"))).when(none, "").otherwise(plain)
+
+
+def _reference(e: Column) -> Column:
+    """What a match of REFERENCE stands for; an unknown name stays as it is."""
+    digits = F.regexp_replace(e, "[&#xX;]", "")
+    number = F.when(e.rlike("^&#[xX]"), F.when(F.length(F.ltrim(digits, F.lit("0"))) <= 8, F.conv(digits, 16, 10).cast("long"))).otherwise(digits.try_cast("long"))
+    name = F.substring(e, 2, 33)
+    whole = {k: v for k, v in html5.items() if k.endswith(";")}
+    legacy = _map({k: v for k, v in html5.items() if not k.endswith(";")})
+    begins = [F.concat(F.try_element_at(legacy, F.substring(name, 1, n)), F.substring(name, n + 1, 33)) for n in reversed(LEGACY_LENGTHS)]
+    usual = F.when(name == "amp;", "&").when(name == "nbsp;", "\xa0").when(name == "lt;", "<").when(name == "gt;", ">").when(name == "quot;", '"')
+    return F.when(e.startswith("&#"), _code_point(number)).otherwise(F.coalesce(usual, F.try_element_at(_map(whole), name), *begins, e))
+
+
+def unescape(c: Column) -> Column:
+    """HTML references to characters, by name or number, read once each; the names are those of HTML 5."""
+    return let(c, lambda t: F.when(~t.contains("&"), t).otherwise(F.array_join(F.zip_with(F.split(t, REFERENCE, -1), F.transform(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)), _reference), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")))
+
+
 def html_to_text(html: Column) -> Column:
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]+>", " ")
-    for k, v in ENTITIES.items():
-        out = F.replace(out, F.lit(k), F.lit(v))
-    return collapse(out)
+    """Tags become spaces, references characters, runs of white space one space. A null is empty."""
+    return collapse(unescape(F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]+>", " ")))
 
 
 def capitalize_name(name: Column, hyphens: bool = False) -> Column:

@@ -13,6 +13,8 @@ TEXT_CHARS, DIGITAL_SHARE = 200, 0.5
 INDEX_MARK, INDEX_LINES = "NOMBRES DE LAS PARTES", 2
 INDEX_HEADER = r"(?iu)NOMBRES|MBRES|[IÍ]NDICE|PARTES"
 INDEX_HEADER_LINES = 2
+#: Words whose tops differ by no more stand in one line.
+LINE_GAP = 3.0
 INDEX_DIVIDER = r"\A[A-ZÑ](?:\s+[A-ZÑ])*\z"
 INDEX_REF = r"\bps?\.\s*(\d+(?:\s*(?:,|y)\s*\d+)*)"
 INDEX_PAGES_ONLY = r"\A(?:y\s+|,\s*)?\d+(?:\s*(?:,|y)\s*\d+)*\z"
@@ -67,6 +69,21 @@ def index_pages(pages: DataFrame) -> DataFrame:
     return found.join(last, ["tomo", "run"]).drop("run")
 
 
+def index_columns(words: DataFrame, widths: DataFrame, gap: float = LINE_GAP) -> DataFrame:
+    """(tomo, pdf_page, columna, lineas) from the places of words (tomo, pdf_page, x0, x1, top, palabra) and page widths (tomo, pdf_page, ancho).
+
+    A page has two columns, left and right of the middle of its width: a word belongs to the one that has its centre. In a column a line begins where
+    the next word stands more than `gap` below the one before; a line's words follow each other by x0, lines by their tops. A page without a known
+    width, and words without a place, are left out. A window of one column of one page at a time.
+    """
+    x = words.join(widths.select("tomo", "pdf_page", "ancho"), ["tomo", "pdf_page"]).where("x0 is not null and top is not null and palabra is not null and ancho > 0")
+    x = x.withColumn("columna", ((F.col("x0") + F.coalesce("x1", "x0")) / 2 >= F.col("ancho") / 2).cast("int"))
+    down = Window.partitionBy("tomo", "pdf_page", "columna").orderBy("top", "x0", "palabra")
+    x = x.withColumn("nueva", F.coalesce(F.col("top") - F.lag("top").over(down) > gap, F.lit(False)).cast("int")).withColumn("linea", F.sum("nueva").over(down))
+    line = x.groupBy("tomo", "pdf_page", "columna", "linea").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "top", "palabra"))), lambda w: w["palabra"]), " ").alias("texto"))
+    return line.groupBy("tomo", "pdf_page", "columna").agg(F.transform(F.array_sort(F.collect_list(F.struct("linea", "texto"))), lambda s: s["texto"]).alias("lineas"))
+
+
 def index_entries_of(lines: Column) -> Column:
     """array<struct<caratula, paginas>> of one column of the index, folded over its lines.
 

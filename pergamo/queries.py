@@ -445,6 +445,25 @@ def index_entries(spark, d):
     return P.index_entries(X.index_columns(spark)).select("caratula", "paginas")
 
 
+@query("SELECT 'Cliente ' || o_custkey || ' c/ Estado ' || o_orderstatus || ' s/ ' || o_orderpriority AS caratula, CAST(o_orderkey % 900 + 1 AS INT) AS pagina, CAST(o_orderkey // 40 AS INT) AS pdf_page, CAST(o_orderkey // 20 % 2 AS INT) AS columna FROM orders")
+def index_layout(spark, d):
+    """Every order as an entry of a two-column index, laid out word by word on pages, then read back: columns, lines, entries."""
+    o = F.col("o_orderkey")
+    texts = F.array(F.concat(F.lit("Cliente "), F.col("o_custkey"), F.lit(" c/ Estado"), F.lit(" "), F.col("o_orderstatus")), F.concat(F.lit("s/ "), F.col("o_orderpriority"), F.lit(": p. "), (o % 900 + 1).cast("string")))
+    line = t(spark, d, "orders").select(F.lit(1).alias("tomo"), F.floor(o / 40).cast("int").alias("pdf_page"), (F.floor(o / 20) % 2).alias("lado"), (o % 20).alias("fila"), F.posexplode(texts).alias("nth", "linea"))
+    word = line.select("tomo", "pdf_page", "lado", "fila", "nth", F.posexplode(F.split("linea", " ")).alias("i", "palabra"))
+    x0 = F.lit(30.0) + F.col("lado") * 300 + F.col("i") * 38
+    words = word.select("tomo", "pdf_page", x0.alias("x0"), (x0 + 30).alias("x1"), (F.lit(50.0) + F.col("fila") * 24 + F.col("nth") * 12 + F.col("i") % 3).alias("top"), "palabra")
+    columns = P.index_columns(words, words.select("tomo", "pdf_page").distinct().withColumn("ancho", F.lit(600.0)))
+    return P.index_entries(columns).select("caratula", F.explode("paginas").alias("pagina"), "pdf_page", "columna")
+
+
+@query(r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&quot;?', chr(34), 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS resumen FROM pages")
+def page_texts(spark, d):
+    """The text of every web page, with its references read."""
+    return t(spark, d, "pages").select("page_id", F.md5(T.html_to_text(F.col("html")).cast("binary")).alias("resumen"))
+
+
 def volume(spark) -> tuple[DataFrame, DataFrame]:
     p = P.with_official_page(X.pages(spark))
     return p, R.segment(P.index_entries(X.index_columns(spark)), p)
