@@ -643,3 +643,9 @@ def fold_alike(spark, d):
     """Composed and decomposed letters, in texts and in queries."""
     x = spark.createDataFrame([(a, " ".join(lexical.query_tokens(a))) for a, _ in FOLDED], "texto string, consulta string")
     return x.select("texto", F.array_join(T.tokens(F.col("texto")), " ").alias("plegado"), "consulta")
+
+
+from pergamo import volumes  # noqa: E402
+
+QUERIES |= volumes.QUERIES
+ORACLE |= volumes.ORACLE
