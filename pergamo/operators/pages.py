@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pergamo.functions import text as T
+from pergamo.session import settle
 
 # Quality thresholds and what marks and shapes the party index.
 TEXT_CHARS, DIGITAL_SHARE = 200, 0.5
@@ -43,8 +44,22 @@ def page_offset(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_quality(pages: DataFrame) -> DataFrame:
-    """Per volume: pages with enough text and the verdict digital or requiere_ocr."""
+#: Volumes that an error names.
+NAMED = 10
+
+
+def at_least_one(df: DataFrame, message: str) -> DataFrame:
+    """df, written once, or ValueError: what was written is looked at, so its source is read in one pass."""
+    out = settle(df)
+    if out.isEmpty():
+        raise ValueError(message)
+    return out
+
+
+def page_quality(pages: DataFrame, strict: bool = False) -> DataFrame:
+    """Per volume: pages with enough text and the verdict digital or requiere_ocr. Strict: no pages at all raise."""
+    if strict:
+        return at_least_one(page_quality(pages), "there are no pages to judge")
     full = F.count(F.when(F.length(T.strip(F.coalesce("texto", F.lit("")))) >= TEXT_CHARS, 1))
     out = pages.groupBy("tomo").agg(F.count(F.lit(1)).alias("paginas"), full.alias("con_texto"))
     return out.withColumn("calidad", F.when(F.col("con_texto") / F.col("paginas") >= DIGITAL_SHARE, "digital").otherwise("requiere_ocr"))
@@ -61,10 +76,22 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return with_clean_text(pages).groupBy("tomo").agg(n("texto")("palabras_crudas"), n("texto_limpio")("palabras_limpias"))
 
 
-def index_pages(pages: DataFrame) -> DataFrame:
-    """The last run of consecutive pages whose first lines name the party index."""
-    head = F.upper(T.fold(F.array_join(F.slice(T.lines(F.col("texto")), 1, INDEX_LINES), "\n")))
-    found = pages.where(head.contains(INDEX_MARK)).withColumn("run", F.col("pdf_page") - F.row_number().over(Window.partitionBy("tomo").orderBy("pdf_page")))
+def _names_index(text: Column) -> Column:
+    return F.upper(T.fold(F.array_join(F.slice(T.lines(text), 1, INDEX_LINES), "\n"))).contains(INDEX_MARK)
+
+
+def index_pages(pages: DataFrame, strict: bool = False) -> DataFrame:
+    """The last run of consecutive pages whose first lines name the party index.
+
+    Strict: no pages at all, or a volume without such a page, raise; one count a volume tells, from the pages marked in the same pass."""
+    if strict:
+        marked = settle(pages.withColumn("_marca", F.coalesce(_names_index(F.col("texto")), F.lit(False))))
+        bare = marked.groupBy("tomo").agg(F.max("_marca").alias("hay"), F.count(F.lit(1)).alias("n"))
+        lacking = [r.tomo for r in bare.where("not hay").orderBy("tomo").limit(NAMED).collect()]
+        if lacking or marked.isEmpty():
+            raise LookupError(f"no index by the names of the parties in volumes {lacking}" if lacking else "there are no pages to search for an index")
+        return index_pages(marked.where("_marca").drop("_marca"))
+    found = pages.where(_names_index(F.col("texto"))).withColumn("run", F.col("pdf_page") - F.row_number().over(Window.partitionBy("tomo").orderBy("pdf_page")))
     last = found.groupBy("tomo").agg(F.max("run").alias("run"))
     return found.join(last, ["tomo", "run"]).drop("run")
 
@@ -118,8 +145,10 @@ def index_entries_of(lines: Column) -> Column:
     return F.aggregate(lines, start, step, lambda s: s["out"])
 
 
-def index_entries(columns: DataFrame) -> DataFrame:
-    """(tomo, caratula, paginas) from (tomo, pdf_page, columna, lineas); an entry never runs into the next column."""
+def index_entries(columns: DataFrame, strict: bool = False) -> DataFrame:
+    """(tomo, caratula, paginas) from (tomo, pdf_page, columna, lineas); an entry never runs into the next column. Strict: no entry at all raises."""
+    if strict:
+        return at_least_one(index_entries(columns), "the index by the names of the parties has no entries")
     return columns.select("tomo", "pdf_page", "columna", F.posexplode(index_entries_of(F.col("lineas"))).alias("orden", "e")).select("tomo", "pdf_page", "columna", "orden", "e.caratula", "e.paginas")
 
 

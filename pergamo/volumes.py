@@ -20,6 +20,7 @@ from pergamo.operators import pages as P
 from pergamo.operators import rulings as R
 from pergamo.operators import sections as S
 from pergamo.operators import search
+from pergamo.plans import migrations
 from pergamo.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,6 +200,22 @@ def volume_reclassified(spark, d):
     return R.reclassify_parties(bare, 100).select("tomo", "cita", "actor_tipo", "demandado_tipo")
 
 
+@query(f"WITH {R_SQL} SELECT {CITE} AS cita, CAST(o_orderkey % 3 AS INT) AS n_jueces, {_pick(ACTORS, K, 2)} AS actor_tipo, {_pick(DEFENDANTS, K, 1)} AS demandado FROM r")
+def upgraded_rulings(spark, d):
+    """All rulings from a table of the first version: judges as a JSON text, no parties."""
+    judges = "CASE o_orderkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN '[\"Rosa Luna\"]' ELSE '[\"Rosa Luna\", \"Pedro Sol\"]' END AS jueces"
+    old = _orders(spark, d).selectExpr("tomo", f"{CITE} AS cita", "caratula", judges)
+    return migrations.upgraded(old, "fallos").select("cita", F.size("jueces").alias("n_jueces"), "actor_tipo", "demandado")
+
+
+@query("SELECT CAST(coalesce(a.v, b.v) AS VARCHAR) AS version, CASE WHEN a.v IS NULL THEN 'huerfana' WHEN b.v IS NULL THEN 'pendiente' ELSE 'aplicada' END AS estado FROM (SELECT DISTINCT p_partkey AS v FROM part WHERE p_size > 10) a FULL JOIN (SELECT DISTINCT l_partkey AS v FROM lineitem WHERE l_quantity > 49) b ON a.v = b.v")
+def migration_states(spark, d):
+    """Sets of versions against each other: parts above a size as those that are there, parts of large orders as those recorded."""
+    there = spark.read.parquet(f"{d}/part.parquet").where("p_size > 10").select(F.col("p_partkey").cast("string").alias("version"))
+    done = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity > 49").select(F.col("l_partkey").cast("string").alias("version"))
+    return migrations.states(there, done)
+
+
 PARTY_FORMS = (("Provincia de ", "", "estado"), ("", " S.A.", "empresa"), ("Banco Central de ", "", "organismo"), ("Sucesión de ", "", "persona_fisica"), ("Cooperativa ", "", "empresa"), ("Municipalidad de ", "", "estado"))
 SEGMENT = "c_mktsegment"
 

@@ -3,6 +3,7 @@
 import html
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pergamo.functions import text as T
@@ -61,3 +62,20 @@ def test_a_stream_takes_each_content_once(spark, tmp_path):
     assert ingest.pages_of(got.limit(0)).isEmpty()
     plan = ingest.new_files(spark, str(folder), late="1 hour")
     assert plan.isStreaming
+
+
+def test_what_is_missing_raises(spark):
+    """No pages, a volume without an index, an index without entries; what is there comes through as without the check."""
+    pages = spark.createDataFrame([(1, 4, "NOMBRES DE LAS PARTES\nx"), (1, 5, "texto"), (2, 9, "texto"), (3, 1, None)], "tomo int, pdf_page int, texto string")
+    with pytest.raises(LookupError, match=r"\[2, 3\]"):
+        P.index_pages(pages, strict=True)
+    one = pages.where("tomo = 1")
+    assert P.index_pages(one, strict=True).collect() == P.index_pages(one).collect() != []
+    assert sorted(P.page_quality(pages, strict=True).collect()) == sorted(P.page_quality(pages).collect())
+    for raised, call in ((LookupError, P.index_pages), (ValueError, P.page_quality)):
+        with pytest.raises(raised):
+            call(pages.limit(0), strict=True)
+    columns = spark.createDataFrame([(1, 4, 0, ["sin", "páginas"])], "tomo int, pdf_page int, columna int, lineas array<string>")
+    with pytest.raises(ValueError):
+        P.index_entries(columns, strict=True)
+    assert P.index_entries(columns).count() == 0
