@@ -6,6 +6,7 @@ SQL can say what the operators are to find.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,8 @@ from pergamo.operators import rulings as R
 from pergamo.operators import sections as S
 from pergamo.operators import search
 from pergamo.plans import migrations
-from pergamo.session import settle
+from pergamo.session import settle, shared_folder
+from pergamo.sources import keyed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -216,6 +218,16 @@ def migration_states(spark, d):
     return migrations.states(there, done)
 
 
+@query("SELECT o_orderkey AS llave, o_custkey, count(l_linenumber) AS n, CAST(sum(l_linenumber) AS BIGINT) AS suma FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
+def keyed_join(spark, d):
+    """Orders with their lines from two tables bucketed by the order: neither the join nor the count shuffles."""
+    at = f"{shared_folder(spark)}/llaves-{len(_made)}-{uuid.uuid4().hex[:8]}"
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("llave"), "o_custkey")
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("llave"), "l_linenumber")
+    left, right = (keyed.write_keyed(x, f"{at}/{n}", ("llave",), 8) for n, x in (("pedidos", orders), ("lineas", lines)))
+    return left.join(right, "left").groupBy("llave", "o_custkey").agg(F.count("l_linenumber").alias("n"), F.sum("l_linenumber").alias("suma"))
+
+
 PARTY_FORMS = (("Provincia de ", "", "estado"), ("", " S.A.", "empresa"), ("Banco Central de ", "", "organismo"), ("Sucesión de ", "", "persona_fisica"), ("Cooperativa ", "", "empresa"), ("Municipalidad de ", "", "estado"))
 SEGMENT = "c_mktsegment"
 
