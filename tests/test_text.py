@@ -58,3 +58,16 @@ def test_snippet_stays_in_words(spark):
     text = "uno dos tres cuatro cinco " * 40
     got = one(spark, T.snippet(F.col("t"), F.array(F.lit("cinco"))), t=text)
     assert "cinco" in got and set(got.strip("…").split()) <= {"uno", "dos", "tres", "cuatro", "cinco"} and len(got) <= 260
+
+
+def test_parties_by_spelling(spark):
+    """Acronyms with stops, blanks or neither, among other lone letters; acronyms that count at the end only; persons by what their names hold."""
+    from pergamo.functions.parties import party_type
+
+    want = {
+        "A.F.I.P.": "estado", "A F I P": "estado", "D. G. I.": "estado", "Y A.F.I.P.": "estado", "O.S.D.E.": "organismo", "Sur y A S.A.": "empresa", "Sur S. R. L.": "empresa", "Sur SRL y otro": "empresa",
+        "Puertos S.E": "organismo", "Puertos SE y otro": "organismo", "SE Puertos": "persona_fisica", "Roca, Ana": "persona_fisica", "Ana Roca y otros": "persona_fisica", "12 Ana Roca": "persona_fisica", "Ana 3": None,
+        "Uno Dos Tres Cuatro, Ana": None, "Uno Dos Tres Cuatro Cinco": None, "Sosa": None, "Sosita": "persona_fisica", "Sosa,": "persona_fisica", "N.N.": "persona_fisica", "Club Sosa": None, "": None, None: None,
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "n string").select("n", party_type(F.col("n")).alias("t")).collect()
+    assert {r.n: r.t for r in rows} == want
