@@ -65,6 +65,12 @@ def page_quality(pages: DataFrame, strict: bool = False) -> DataFrame:
     return out.withColumn("calidad", F.when(F.col("con_texto") / F.col("paginas") >= DIGITAL_SHARE, "digital").otherwise("requiere_ocr"))
 
 
+def volume_rows(pages: DataFrame) -> DataFrame:
+    """(tomo, numero, calidad, paginas, offset_pagina): what is stored of each volume; a volume without a known official page has no offset."""
+    offsets = page_offset(pages).select("tomo", F.col("offset").cast("int").alias("offset_pagina"))
+    return page_quality(pages).select("tomo", F.col("tomo").alias("numero"), "calidad", F.col("paginas").cast("int").alias("paginas")).join(offsets, "tomo", "left")
+
+
 def body_pages(pages: DataFrame) -> DataFrame:
     """One page an official number: the last of the PDF where a number repeats."""
     return pages.where("pagina_oficial is not null").groupBy("tomo", "pagina_oficial").agg(F.max_by("texto", "pdf_page").alias("texto"), F.max("pdf_page").alias("pdf_page"))

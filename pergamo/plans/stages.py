@@ -46,7 +46,7 @@ class Workspace:
         return self.spark.read.schema(self._schema(table)).parquet(f"{self.path}/{table}") if self.exists(table) else self.spark.createDataFrame([], self._schema(table))
 
     def _schema(self, table: str) -> str:
-        extra = {"fallos": ", pagina_siguiente int, pagina_fin_cuerpo int, metodo string, dudosa boolean, paginas array<struct<pagina_oficial:int,texto:string>>, texto string", "secciones": ", tomo int", "chunks": ", tomo int", "vectores": ", tomo int", "citas": ", sitio int, lugar int, tomo int", "paginas": ", texto string"}
+        extra = {"fallos": ", pagina_siguiente int, pagina_fin_cuerpo int, metodo string, dudosa boolean, paginas array<struct<pagina_oficial:int,texto:string>>, texto string", "secciones": ", tomo int", "chunks": ", tomo int", "vectores": ", tomo int", "citas": ", sitio int, lugar int, tomo int", "paginas": ", texto string", "tomos": ", tomo int"}
         return SCHEMAS.get(table, "") + extra.get(table, "") if table in SCHEMAS else "tomo int, caratula string, paginas array<int>"
 
     def exists(self, table: str) -> bool:
@@ -79,7 +79,9 @@ def _of(df: DataFrame, volumes: list[int]) -> DataFrame:
 
 
 def extract(w: Workspace, volumes: list[int]) -> None:
+    """Official numbers of the pages, and of each volume what its pages tell: quality, pages and the offset that links need."""
     w.write("paginas", pages.with_official_page(_of(w.read("paginas"), volumes)))
+    w.write("tomos", pages.volume_rows(_of(w.read("paginas"), volumes)))
 
 
 def clean(w: Workspace, volumes: list[int]) -> None:

@@ -144,6 +144,13 @@ def volume_rulings(spark, d):
     return rulings(spark, d).select("cita", "caratula", "pagina_inicio", "pagina_fin", "metodo", "dudosa")
 
 
+@query(f"WITH {R_SQL} SELECT {CITE} AS cita, '/api/tomos/' || tomo || '/pdf#page=' || (pagina + 6) AS enlace FROM r")
+def volume_links(spark, d):
+    """A link from each ruling to its page in the PDF, by the offset that its volume's pages show."""
+    rows = P.volume_rows(pages(spark, d))
+    return search.page_links(rulings(spark, d), rows, "/api/tomos").select("cita", "enlace")
+
+
 @query(f"WITH {R_SQL} SELECT {CITE} AS cita, CAST(CASE WHEN {LAST} THEN 2 ELSE 3 END AS INT) AS n_paginas, md5(trim({FIRST} || chr(10) || {SECOND}, chr(10))) AS resumen FROM r")
 def volume_texts(spark, d):
     """Whole texts; the page on which the next ruling starts counts, and what stands before its caption."""

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pergamo.functions import text as T
 from pergamo.operators import pages as P
+from pergamo.operators import search
+from pergamo.plans import stages
 from pergamo.streaming import ingest
 
 
@@ -79,3 +81,16 @@ def test_what_is_missing_raises(spark):
     with pytest.raises(ValueError):
         P.index_entries(columns, strict=True)
     assert P.index_entries(columns).count() == 0
+
+
+def test_links_by_the_stored_offset(spark, tmp_path):
+    """The stage that numbers pages stores each volume's offset; a volume without one links to the file."""
+    w = stages.Workspace(spark, str(tmp_path))
+    rows = [(7, n, f"DE JUSTICIA DE LA NACIÓN {n - 4}\ntexto") for n in range(5, 9)] + [(7, 9, "sin número"), (8, 1, "nada"), (8, 2, None)]
+    stages.register(w, spark.createDataFrame(rows, "tomo int, pdf_page int, texto string"))
+    stages.extract(w, [7, 8])
+    got = {r.tomo: (r.numero, r.calidad, r.paginas, r.offset_pagina) for r in w.read("tomos").collect()}
+    assert got == {7: (7, "requiere_ocr", 5, 4), 8: (8, "requiere_ocr", 2, None)}
+    places = spark.createDataFrame([(7, 2), (7, None), (8, 1), (9, 1)], "tomo int, pagina_inicio int")
+    links = [r.enlace for r in search.page_links(places, w.read("tomos"), "/api/tomos").orderBy("tomo", "pagina_inicio").collect()]
+    assert links == ["/api/tomos/7/pdf", "/api/tomos/7/pdf#page=6", "/api/tomos/8/pdf", "/api/tomos/9/pdf"]
