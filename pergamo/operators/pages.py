@@ -67,8 +67,8 @@ def page_quality(pages: DataFrame, strict: bool = False) -> DataFrame:
 
 def volume_rows(pages: DataFrame) -> DataFrame:
     """(tomo, numero, calidad, paginas, offset_pagina): what is stored of each volume; a volume without a known official page has no offset."""
-    offsets = page_offset(pages).select("tomo", F.col("offset").cast("int").alias("offset_pagina"))
-    return page_quality(pages).select("tomo", F.col("tomo").alias("numero"), "calidad", F.col("paginas").cast("int").alias("paginas")).join(offsets, "tomo", "left")
+    counted = page_offset(pages).select("tomo", F.col("tomo").alias("numero"), F.col("total").cast("int").alias("paginas"), F.col("offset").cast("int").alias("offset_pagina"))
+    return counted.join(page_quality(pages).select("tomo", "calidad"), "tomo").select("tomo", "numero", "calidad", "paginas", "offset_pagina")
 
 
 def body_pages(pages: DataFrame) -> DataFrame:
