@@ -97,3 +97,19 @@ def test_bounds_spare_most_products():
 def test_a_third_of_all_rows_have_one_label_and_vector(spark):
     rows = [(i, [0.5, 0.25], 0) for i in range(200)] + clustered(60, 2, 3, 5, step=50) + [(10_000 + i, [0.5, 0.25], 1) for i in range(100)]
     assert run(spark, rows) == slow(rows)
+
+
+def test_query_equals_its_sql(spark):
+    """The registered query and its SQL over the whole smallest table."""
+    import duckdb
+
+    from pergamo.llm.queries import ORACLE, QUERIES
+
+    path = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/embeddings.parquet')")
+    names = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    got = QUERIES["op13_hard_negatives"](spark, path)
+    assert sorted(got.columns) == sorted(names)
+    want = duck.sql(f"SELECT {', '.join(names)} FROM ({ORACLE['op13_hard_negatives']})").fetchall()
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(want) != []
