@@ -243,6 +243,19 @@ def test_lines_of_a_crowded_bucket(spark, make, monkeypatch):
     assert [i for i in got if not got[i]] in ([first, 400], [400, first])
 
 
+def test_lines_meet_one_hub(spark, make, monkeypatch):
+    """Edited copies of a line that several documents have: two comparisons a copy at most for all of their buckets, not one a bucket."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    words = [word() for _ in range(50)]
+    copies = [" ".join(word() if i in at else w for i, w in enumerate(words)) for at in (rng.sample(range(50), 2) for _ in range(80))]
+    met, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, texts: verified(met.append(pairs.count()) or pairs, texts))
+    got = {r.doc_id: r._n_dropped for r in line_dedup.line_dedup(make([" ".join(words)] * 5 + copies)).collect()}
+    assert [i for i in got if not got[i]] == [0]
+    assert sum(met) <= 2 * len(copies)  # 142; 338 when each bucket had its smallest line as hub
+
+
 def test_line_columns_and_counts(spark, make):
     docs = make(["a b c d\na b c d", "a b c d\nx"])
     got = sorted(line_dedup.line_dedup(docs).collect())
