@@ -24,6 +24,8 @@ RUNNING_HEADERS = (
     r"[ \t]*\d{1,4}[ \t]*",
 )
 MAX_RUNNING_HEADERS = 4
+#: Largest number that RUNNING_HEADERS take for a header whatever it counts.
+MOST_SHORT = 9999
 BROKEN_WORD = r"(\p{L})[ \t]*-[ \t]*\n[ \t]*([a-záéíóúñüïö])"
 NAME_PARTICLES = ("de", "del", "la", "y")
 STOP_WORDS = tuple(
@@ -122,14 +124,20 @@ def official_page(text: Column) -> Column:
     return F.when(n.between(1, MAX_OFFICIAL_PAGE), n)
 
 
-def strip_headers(text: Column) -> Column:
-    """Without the running headers that lead the page, up to MAX_RUNNING_HEADERS of them."""
+def strip_headers(text: Column, volume: Column | None = None) -> Column:
+    """Without the running headers that lead the page, up to MAX_RUNNING_HEADERS of them. The number of the page's volume, if it is
+    given, is one however long it is; any other number has four digits at most."""
     unit = "|".join(RUNNING_HEADERS)
-    return F.regexp_replace(text, rf"(?iu)\A(?:(?:{unit})(?:\R|\z)){{1,{MAX_RUNNING_HEADERS}}}", "")
+    begin, end = rf"(?iu)\A(?:(?:{unit}", rf")(?:\R|\z)){{1,{MAX_RUNNING_HEADERS}}}"
+    usual = F.regexp_replace(text, begin + end, "")
+    if volume is None:
+        return usual
+    of_volume = F.concat(F.lit(begin + r"|[ \t]*"), volume.cast("string"), F.lit(r"[ \t]*" + end))
+    return F.when(volume > MOST_SHORT, F.regexp_replace(text, of_volume, F.lit(""))).otherwise(usual)
 
 
 def join_broken_words(text: Column) -> Column:
-    return F.regexp_replace(text, BROKEN_WORD, "$1$2")
+    return F.when(F.contains(text, F.lit("-")), F.regexp_replace(text, BROKEN_WORD, "$1$2")).otherwise(text)
 
 
 def is_small_caps(word: Column) -> Column:
@@ -146,9 +154,9 @@ def title_small_caps(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda w: F.when(is_small_caps(w), capitalize(w)).otherwise(w)), "")
 
 
-def clean_page(text: Column) -> Column:
+def clean_page(text: Column, volume: Column | None = None) -> Column:
     """Headers off, broken words joined, small caps as titles, ends trimmed; applying it twice changes nothing."""
-    return strip(title_small_caps(join_broken_words(strip_headers(text))))
+    return strip(title_small_caps(join_broken_words(strip_headers(text, volume))))
 
 
 def word_windows(text: Column, target: int = 400, overlap: int = 80) -> Column:

@@ -26,7 +26,7 @@ def with_official_page(pages: DataFrame) -> DataFrame:
 
 
 def with_clean_text(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("texto_limpio", T.clean_page(F.col("texto")))
+    return pages.withColumn("texto_limpio", T.clean_page(F.col("texto"), F.col("tomo") if "tomo" in pages.columns else None))
 
 
 def page_offset(pages: DataFrame) -> DataFrame:
