@@ -111,7 +111,7 @@ def ruling_pages(rulings: DataFrame, pages: DataFrame) -> DataFrame:
     p = body_pages(pages).withColumn("bloque", page_block(F.col("pagina_oficial")))
     x = r.join(p, (p.tomo == r.r_tomo) & (p.bloque == r.r_bloque) & p.pagina_oficial.between(r.pagina_inicio, r.hasta))
     raw = F.when(F.col("pagina_oficial") == F.col("pagina_siguiente"), _shared_page(F.col("texto"))).otherwise(F.col("texto"))
-    return x.select("cita", "pagina_oficial", T.clean_page(raw).alias("texto"))
+    return x.select("cita", "pagina_oficial", T.clean_page(raw, F.col("tomo")).alias("texto"))
 
 
 def ruling_texts(rulings: DataFrame, pages: DataFrame) -> DataFrame:
