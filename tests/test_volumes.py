@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from pergamo import volumes as V
 from pergamo.volumes import ORACLE, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -34,3 +35,25 @@ def differing(spark, d, name):
 @pytest.mark.parametrize("name", ["volume_pages", "volume_texts", "volume_sections", "volume_chunks", "volume_metadata", "volume_citations", "volume_incoming"])
 def test_volumes_of_long_numbers(spark, far, name):
     assert not differing(spark, far, name)
+
+
+def test_work_is_dealt_to_all_cores(spark, far):
+    """One file of orders is read by one task; what is made of it is not."""
+    for step in (V.pages, V.texts, V.metadata, V.cited):
+        assert len(step(spark, far).inputFiles()) >= spark.sparkContext.defaultParallelism, step.__name__
+
+
+def test_sections_are_cut_within_rows(spark, far):
+    """No shuffle and no window over single lines."""
+    from pergamo.operators.sections import cut_texts
+
+    plan = cut_texts(V.texts(spark, far))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+
+
+def test_captions_are_read_once(spark, far):
+    """No filter repeats what finds a caption."""
+    from pergamo.operators.rulings import segment
+
+    plan = segment(V.entries(spark, far), V.pages(spark, far))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "lambdafunction" in line]
