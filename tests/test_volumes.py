@@ -57,3 +57,27 @@ def test_captions_are_read_once(spark, far):
 
     plan = segment(V.entries(spark, far), V.pages(spark, far))._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "lambdafunction" in line]
+
+
+def test_incoming_is_counted_without_pairs(spark):
+    """The counts of `incoming`, from citations counted a page: itself, nulls, repeats, ranges over blocks and past their end."""
+    from pergamo.operators import citations as Q
+
+    cites = [(c, t, p, "") for c in ("a", "b", "c", None) for t in (1, 2, None) for p in (1, 15, 16, 17, 40, None) for _ in range(3)]
+    rulings = [("a", 1, 1, 16), ("a", 2, 10, 40), ("b", 1, 17, None), ("c", 2, 5, 2), (None, 1, 1, 40), ("d", 1, 14, 100), ("d", 1, 14, 100), ("e", 3, 1, 2), ("f", 1, None, 2)]
+    c = spark.createDataFrame(cites, "cita string, tomo_citado int, pagina_citada int, contexto string")
+    r = spark.createDataFrame(rulings, "cita string, tomo int, pagina_inicio int, pagina_fin int")
+    want = {x.citado: x["count"] for x in Q.incoming(c, r).groupBy("citado").count().collect()}
+    assert want and {x.citado: x.n for x in Q.incoming_counts(c, r).collect()} == want
+
+
+def test_pages_are_split_once_and_filtered(spark):
+    """No word of a page splits it anew, and only words that a chunk begins with shuffle."""
+    from pergamo.operators import chunks as C
+
+    pages = spark.createDataFrame([("x", 1, "uno dos tres cuatro cinco seis siete")], "cita string, pagina_oficial int, texto string")
+    chunks = spark.createDataFrame([("x", 0, "dos tres cuatro cinco seis"), ("x", 1, "seis siete")], "cita string, orden int, texto string")
+    found = C.locate_chunks(chunks, pages, ["cita", "orden"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(split(texto" not in plan and "getbit" in plan
+    assert sorted(tuple(r) for r in found.collect()) == [("x", 0, 1), ("x", 1, 1)]
