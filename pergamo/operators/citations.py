@@ -98,19 +98,41 @@ def page_block(page: Column) -> Column:
     return F.floor(page / BLOCK).cast("int")
 
 
+def _targets(rulings: DataFrame) -> DataFrame:
+    """(citado, t, pagina_inicio, hasta, bloque): the blocks of BLOCK pages that each ruling's range has a part of."""
+    target = rulings.where("pagina_inicio is not null").select(F.col("cita").alias("citado"), F.col("tomo").alias("t"), "pagina_inicio", F.coalesce("pagina_fin", "pagina_inicio").alias("hasta"))
+    return target.where("hasta >= pagina_inicio").withColumn("bloque", F.explode(F.sequence(page_block(F.col("pagina_inicio")), page_block(F.col("hasta")))))
+
+
+def _within() -> Column:
+    return (F.col("tomo_citado") == F.col("t")) & F.col("pagina_citada").between(F.col("pagina_inicio"), F.col("hasta"))
+
+
 def incoming(citations: DataFrame, rulings: DataFrame) -> DataFrame:
     """Who cites whom: the cited page lies in the target's range of pages, within its volume; not itself.
 
     Ranges are cut to blocks of BLOCK pages, so the join is an equality on volume and block, spread over all of
     them, and the test within a block is left over. A range that ends before it begins holds nothing.
     """
-    target = rulings.where("pagina_inicio is not null").select(F.col("cita").alias("citado"), F.col("tomo").alias("t"), "pagina_inicio", F.coalesce("pagina_fin", "pagina_inicio").alias("hasta"))
-    target = target.where("hasta >= pagina_inicio").withColumn("bloque", F.explode(F.sequence(page_block(F.col("pagina_inicio")), page_block(F.col("hasta")))))
     named = citations.withColumn("_bloque", page_block(F.col("pagina_citada")))
-    x = named.join(target, (F.col("tomo_citado") == F.col("t")) & (F.col("_bloque") == F.col("bloque")) & F.col("pagina_citada").between(F.col("pagina_inicio"), F.col("hasta")))
+    x = named.join(_targets(rulings), (F.col("_bloque") == F.col("bloque")) & _within())
     return x.where(F.col("cita") != F.col("citado")).select("citado", F.col("cita").alias("citante"), "tomo_citado", "pagina_citada", "contexto")
 
 
+def incoming_counts(citations: DataFrame, rulings: DataFrame) -> DataFrame:
+    """(citado, n): how many rows `incoming` has of each cited ruling, without making them.
+
+    Citations are counted a page first, and counts meet the ranges; a ruling's citations of itself, found by its cite, are
+    taken off. So the work grows with citations plus ranges, where the pairs grow with their product.
+    """
+    named = citations.where("cita is not null").withColumn("_bloque", page_block(F.col("pagina_citada")))
+    target = _targets(rulings).where("citado is not null")
+    pages = named.groupBy("tomo_citado", "pagina_citada", "_bloque").agg(F.count(F.lit(1)).alias("n"))
+    every = pages.join(target, (F.col("_bloque") == F.col("bloque")) & _within()).groupBy("citado").agg(F.sum("n").alias("n"))
+    own = named.join(target, (F.col("cita") == F.col("citado")) & (F.col("_bloque") == F.col("bloque")) & _within()).groupBy("citado").agg((-F.count(F.lit(1))).alias("n"))
+    return every.unionByName(own).groupBy("citado").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def graph_summary(citations: DataFrame) -> DataFrame:
     return citations.agg(
         F.count_distinct("cita", "sitio").alias("referencias"), F.count(F.lit(1)).alias("aristas"), F.count_distinct("tomo_citado", "pagina_citada").alias("destinos"),
