@@ -256,6 +256,21 @@ def test_lines_meet_one_hub(spark, make, monkeypatch):
     assert sum(met) <= 2 * len(copies)  # 142; 338 when each bucket had its smallest line as hub
 
 
+def test_lines_travel_as_texts(spark):
+    """What meets in joins has a line's text and sketch, not its shingles, and judges pairs as these would."""
+    long = "".join(chr(97 + i * i % 26) + str(i) for i in range(400))
+    lines = [long, "  " + long[:-9].upper() + "\tZ", long[:1500], "Ab\tc", "ab c", "otra"]
+    docs = spark.createDataFrame([("\n".join(lines),)], "text string")
+    wanted = spark.createDataFrame([(x,) for x in lines], "text string").select(F.xxhash64("text").alias("line"), "text")
+    texts = line_dedup._texts(wanted.select("line"), docs)
+    assert all(len(v) <= line_dedup.SKETCH for r in texts.collect() for v in r if isinstance(v, list))
+    x = wanted.join(texts, "line").withColumn("h", line_dedup.shingles(F.col("text"))).collect()
+    assert all(r.n == len(r.h) and r.s == r.h[: line_dedup.SKETCH] for r in x)
+    side = lambda c: texts.select(F.col("line").alias(c), F.col("t").alias(f"t{c}"), F.col("n").alias(f"n{c}"))
+    got = {(r.a, r.b) for r in side("a").crossJoin(side("b")).where(line_dedup._alike("a", "b")).collect()}
+    assert got == {(r.line, q.line) for r in x for q in x if len({*r.h} & {*q.h}) * 5 >= 4 * len({*r.h} | {*q.h})}
+
+
 def test_line_columns_and_counts(spark, make):
     docs = make(["a b c d\na b c d", "a b c d\nx"])
     got = sorted(line_dedup.line_dedup(docs).collect())
